@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import contamination, fusion, near_dup, overlap, packing, spans
+from strandline.llm import contamination, fusion, near_dup, overlap, packing, spans, toxicity
 from strandline.llm.oracles import ORACLES  # noqa: F401
 from strandline.session import table
 
@@ -96,10 +96,28 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return contamination.remove_leaks(table(spark, d, "documents"), "doc_id", "text", "layout", table(spark, d, "benchmark"), "item_id", "text")
 
 
+def _toxic(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = toxicity.fit(docs, "doc_id", "text", "layout", table(spark, d, "labels"), "toxic")
+    return toxicity.score(docs, "doc_id", "text", "layout", model)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _toxic(spark, d).where("toxic").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _toxic(spark, d)
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.rates(_toxic(spark, d), table(spark, d, "documents"), "doc_id", "source")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_groups, p2_found, p2_ranking, p3_found, p3_spans, p3_coverage, p6_found, p6_overlaps, p7_packing, p7_fill, p8_found,
-        p8_leaks, p8_cleaned,
+        p8_leaks, p8_cleaned, p9_found, p9_scores, p9_rates,
     )
 }

@@ -93,11 +93,12 @@ def sharing_pairs(left: DataFrame, right: DataFrame, min_len: int, same: bool) -
     With ``same`` both sides are the same collection and a < b. Otherwise a pair is left out where b is the owner of a.
     A sort-merge join, so a unit that a third of all records hold is split by adaptive execution and nothing is gathered.
     """
-    r = right.select(F.col("h").alias("h_b"), F.col("id").alias("b"), F.col("reach").alias("reach_b"), F.col("around").alias("around_b"))
-    keep = F.col("id") < F.col("b") if same else ~F.col("owner").eqNullSafe(F.col("b"))
-    ctx = min_len - unit_letters(min_len)
-    met = left.hint("merge").join(r, (F.col("h") == F.col("h_b")) & keep).select(F.col("id").alias("a"), "b", "reach", "around", "reach_b", "around_b")
-    return met.mapInArrow(partial(_verify, ctx=ctx), "a bigint, b bigint").distinct()
+    # both sides keep the same columns under the same names, so that a collection is shuffled once however often it is met
+    x, y = left.alias("x"), right.alias("y")
+    keep = F.col("x.id") < F.col("y.id") if same else F.col("x.owner") != F.col("y.id")
+    met = x.hint("merge").join(y, (F.col("x.h") == F.col("y.h")) & keep)
+    met = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "x.reach", "x.around", F.col("y.reach").alias("reach_b"), F.col("y.around").alias("around_b"))
+    return met.mapInArrow(partial(_verify, ctx=min_len - unit_letters(min_len)), "a bigint, b bigint").distinct()
 
 
 def _verify(batches: Iterator[pa.RecordBatch], ctx: int) -> Iterator[pa.RecordBatch]:

@@ -1 +1 @@
-from strandline.functions.sequence import canonical, edge_pair, has_repeats, hash60, is_yes, revcomp, slice_seq  # noqa: F401
+"""Column functions over sequences, headers and orderings."""

@@ -26,11 +26,19 @@ def local_session(cpus: int = 8, **conf: str) -> SparkSession:
     )
     for k, v in conf.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    return reach_workers(b.getOrCreate())
+
+
+def reach_workers(spark: SparkSession) -> SparkSession:
+    """Let Python workers that see the same file system import this package; elsewhere ship it with ``--py-files``."""
+    root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reach_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_root(spark: SparkSession) -> str:

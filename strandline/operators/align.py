@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from strandline.functions.sequence import revcomp
 from strandline.operators import kernels as K
 
-SEED, BAND = 16, 16
+SEED, BAND, _BLOCK = 16, 16, 256
 MATCH, MISMATCH, GAP, LAMBDA, KAPPA = 2, -4, -5, 1.28, 0.46
 _HITS = (
     "qseqid int, assembly_idx int, record_no int, nident int, mismatch int, gaps int, qstart int, qend int, sstart int, send int,"
@@ -79,58 +79,73 @@ def align(queries: DataFrame, records: DataFrame, max_evalue: float = 10.0, k: i
 def _align(batches: Iterator[pa.RecordBatch], space: int) -> Iterator[pa.RecordBatch]:
     swap = str.maketrans("ACGT", "TGCA")
     for b in batches:
-        out = []
-        for row in b.to_pylist():
-            q = row["q"] if row["strand"] > 0 else row["q"][::-1].translate(swap)
-            hit = local_alignment(q, row["s"], row["band"] * BAND - BAND, (row["band"] + 1) * BAND + BAND)
-            if hit is None:
-                continue
-            score, ident, mis, gaps, q0, q1, s0, s1 = hit
-            bits = (LAMBDA * score / 2 - math.log(KAPPA)) / math.log(2)
-            ev = len(q) * max(space, 1) * 2.0**-bits
-            if row["strand"] < 0:
-                q0, q1, start, end = len(q) - q1, len(q) - q0, s1, s0 + 1
-            else:
-                start, end = s0 + 1, s1
-            out.append((row["qseqid"], row["assembly_idx"], row["record_no"], ident, mis, gaps, q0 + 1, q1, start, end, ev, bits, row["s"][s0:s1]))
-        if out:
-            kinds = [pa.int32()] * 10 + [pa.float64(), pa.float64(), pa.string()]
-            names = [c.split()[0] for c in _HITS.split(",")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-
-def local_alignment(q: str, s: str, d0: int, d1: int) -> tuple[int, ...] | None:
-    """Best local alignment with ``s`` position minus ``q`` position in d0..d1: (score, identities, mismatches, gaps, q0, q1, s0, s1).
-
-    Rows are letters of ``q``, cells of a row are diagonals, so a row is computed as vectors but for gaps in ``q``.
+        rows = sorted(b.to_pylist(), key=lambda r: len(r["q"]))  # queries of like length share a block
+        for at in range(0, len(rows), _BLOCK):
+            part = rows[at : at + _BLOCK]
+            qs = [r["q"] if r["strand"] > 0 else r["q"][::-1].translate(swap) for r in part]
+            first = np.array([r["band"] * BAND - BAND for r in part])
+            out = []
+            for row, hit in zip(part, local_alignments(qs, [r["s"] for r in part], first, 3 * BAND), strict=True):
+                score, ident, mis, gaps, q0, q1, s0, s1 = hit
+                if score <= 0:
+                    continue
+                bits = (LAMBDA * score / 2 - math.log(KAPPA)) / math.log(2)
+                n = len(row["q"])
+                ev = n * max(space, 1) * 2.0**-bits
+                if row["strand"] < 0:
+                    q0, q1, start, end = n - q1, n - q0, s1, s0 + 1
+                else:
+                    start, end = s0 + 1, s1
+                out.append((row["qseqid"], row["assembly_idx"], row["record_no"], ident, mis, gaps, q0 + 1, q1, start, end, ev, bits, row["s"][s0:s1]))
+            if out:
+                kinds = [pa.int32()] * 10 + [pa.float64(), pa.float64(), pa.string()]
+                names = [c.split()[0] for c in _HITS.split(",")]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+
+def local_alignments(qs: list[str], ss: list[str], first: np.ndarray, width: int) -> list[tuple[int, ...]]:
+    """Best local alignment of each pair: (score, identities, mismatches, gaps, q0, q1, s0, s1), positions from 0, half-open.
+
+    The place in ``s`` minus the place in ``q`` stays within ``width`` diagonals from ``first``. All pairs are computed at
+    once: a step takes one letter of every query and all its diagonals, a trace step moves every pair.
     """
-    n, m, width = len(q), len(s), d1 - d0 + 1
-    qs, ss = np.frombuffer(q.encode(), np.uint8), np.frombuffer(s.encode(), np.uint8)
-    score = np.zeros((n + 1, width + 2), np.int32)
+    b, n = len(qs), max(map(len, qs), default=0)
+    m = max(map(len, ss), default=0)
+    q, s = np.zeros((b, n + 1), np.uint8), np.full((b, m + 1), 1, np.uint8)  # paddings match nothing
+    for i, (x, y) in enumerate(zip(qs, ss, strict=True)):
+        q[i, : len(x)] = np.frombuffer(x.encode(), np.uint8)
+        s[i, : len(y)] = np.frombuffer(y.encode(), np.uint8)
+    size = np.array([len(y) for y in ss])[:, None]
+    q_size = np.array([len(x) for x in qs])
+    score = np.zeros((n + 1, b, width + 2), np.int32)
+    cells, steps = np.arange(width), np.arange(width) * GAP
     for i in range(1, n + 1):
-        j = i + d0 + np.arange(width)  # letters of s used by the cell
-        ok = (j >= 1) & (j <= m)
-        letter = ss[np.clip(j - 1, 0, max(m - 1, 0))] if m else np.zeros(width, np.uint8)
-        diag = score[i - 1, 1:-1] + np.where(letter == qs[i - 1], MATCH, MISMATCH)
-        up = score[i - 1, 2:] + GAP  # a letter of q against a gap: the next diagonal of the row before
-        cell = np.where(ok, np.maximum(np.maximum(diag, up), 0), 0)
-        steps = np.arange(width) * GAP
-        cell = np.where(ok, np.maximum(cell, np.maximum.accumulate(cell - steps) + steps), 0)
-        score[i, 1:-1] = cell
-    best = int(score.max()) if n and m else 0
-    if best <= 0:
-        return None
-    i, c = np.unravel_index(int(score.argmax()), score.shape)
-    i, c, q1, s1 = int(i), int(c), int(i), int(i + d0 + c - 1)
-    ident = mis = gaps = 0
-    while score[i, c] > 0:
-        j = i + d0 + c - 1
-        same = q[i - 1] == s[j - 1]
-        if score[i, c] == score[i - 1, c] + (MATCH if same else MISMATCH):
-            ident, mis = ident + same, mis + (not same)
-            i -= 1
-        elif score[i, c] == score[i - 1, c + 1] + GAP:
-            gaps, i, c = gaps + 1, i - 1, c + 1
-        else:
-            gaps, c = gaps + 1, c - 1
-    return best, ident, mis, gaps, i, q1, i + d0 + c - 1, s1
+        j = i + first[:, None] + cells  # letters of s used up to the cell
+        ok = (j >= 1) & (j <= size) & (i <= q_size)[:, None]
+        letter = np.take_along_axis(s, np.clip(j - 1, 0, m), axis=1)
+        diag = score[i - 1, :, 1:-1] + np.where(letter == q[:, i - 1 : i], MATCH, MISMATCH)
+        cell = np.where(ok, np.maximum(np.maximum(diag, score[i - 1, :, 2:] + GAP), 0), 0)
+        score[i, :, 1:-1] = np.where(ok, np.maximum(cell, np.maximum.accumulate(cell - steps, axis=1) + steps), 0)
+    flat = score.transpose(1, 0, 2).reshape(b, -1)
+    top = flat.argmax(axis=1) if flat.shape[1] else np.zeros(b, np.int64)
+    best = flat[np.arange(b), top]
+    i, c = top // (width + 2), top % (width + 2)
+    q1, s1 = i.copy(), i + first + c - 1
+    ident, mis, gaps = (np.zeros(b, np.int64) for _ in range(3))
+    who = np.arange(b)
+    while True:
+        live = np.flatnonzero(score[i, who, c] > 0)
+        if not len(live):
+            break
+        x, y = i[live], c[live]
+        same = q[live, x - 1] == s[live, x + first[live] + y - 2]
+        here = score[x, live, y]
+        diag = here == score[x - 1, live, y] + np.where(same, MATCH, MISMATCH)
+        up = ~diag & (here == score[x - 1, live, y + 1] + GAP)
+        ident[live] += diag & same
+        mis[live] += diag & ~same
+        gaps[live] += ~diag
+        i[live] -= diag | up
+        c[live] += up.astype(int) - (~diag & ~up)
+    found = zip(best, ident, mis, gaps, i, q1, i + first + c - 1, s1, strict=True)
+    return [tuple(map(int, r)) for r in found]

@@ -47,6 +47,7 @@ class Settings:
     least_docs: int = 3  #: toxic documents that a telling phrase occurs in
     purity: float = 0.7  #: share of a telling phrase's labelled documents that are marked toxic
     evidence: float = 15.0  #: summed log-likelihood ratio of a toxic training window's telling phrases
+    share: float = 0.3  #: share of a toxic training window's phrases that are telling; ordinary ones have under a third of it
     phrases: int = 50_000  #: most telling phrases kept, the strongest
     toxic_windows: int = 6_000  #: most toxic training windows of each fold
     plain_windows: int = 30_000  #: most ordinary training windows of each fold
@@ -182,7 +183,7 @@ def fit(docs: DataFrame, key: str, text: str, layout: str | None, labels: DataFr
     weight = {r[0]: r[1] for r in told.collect()}
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(weight)
-    picked = materialize(cut.mapInArrow(partial(_pick, sent=sent, evidence=s.evidence), "fold int, toxic int, w string").distinct())
+    picked = materialize(cut.mapInArrow(partial(_pick, sent=sent, evidence=s.evidence, share=s.share), "fold int, toxic int, w string").distinct())
     sample: dict[tuple[int, int], list[str]] = {}
     for toxic, most in ((1, s.toxic_windows), (0, s.plain_windows)):
         for fold in (0, 1):
@@ -226,15 +227,17 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(p), pa.array([y] * len(p), pa.int32())], ["p", "y"])
 
 
-def _pick(batches: Iterator[pa.RecordBatch], sent, evidence: float) -> Iterator[pa.RecordBatch]:
-    """Training windows: of toxic documents those made of telling phrases, of ordinary ones those without."""
+def _pick(batches: Iterator[pa.RecordBatch], sent, evidence: float, share: float) -> Iterator[pa.RecordBatch]:
+    """Training windows: of toxic documents those made mostly of telling phrases, of ordinary ones those with few or none."""
     weight = sent.value
     for b in batches:
         out = []
         for y, fold, ws in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
             for w in ws:
-                e = sum(weight.get(p, 0.0) for p in _phrases(w))
-                if (y and e >= evidence) or (not y and e < evidence / 3):
+                phrases = _phrases(w)
+                told = [weight[p] for p in phrases if p in weight]
+                part = len(told) / len(phrases)
+                if (y and part >= share and sum(told) >= evidence) or (not y and part < share / 3):
                     out.append((fold, y, w))
         if out:
             f, y, w = zip(*out, strict=True)

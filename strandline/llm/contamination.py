@@ -226,9 +226,9 @@ def _cut(batches: Iterator[pa.RecordBatch], sent: list, least: int, coverage: fl
         for doc, text, layout in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             n = [0]
 
-            def edit(s: str, n=n) -> str:
-                places = [m.span() for m in _WORD.finditer(s)]
-                ws = [s[i:j].lower() for i, j in places]
+            def edit(s: str, view: str, n=n) -> str:
+                places = [m.span() for m in _WORD.finditer(view)]
+                ws = [view[i:j].lower() for i, j in places]
                 spans = sorted((places[at - k + 1][0], places[at][1]) for a, size in autos for at, k, q in a.matches(ws) if goes(a, size, k, q))
                 out, end = [], 0
                 for i, j in spans:

@@ -50,14 +50,18 @@ def plain_text(text: str | None, layout: str | None) -> str:
     return "\n".join(_joined(h[f], f) for c in j["cells"] if isinstance(c, dict) for h, f in _cell_strings(c))
 
 
-def rewrite(text: str, layout: str | None, edit: Callable[[str], str]) -> str:
-    """``text`` with ``edit`` applied to it, or to each string of a ``json`` notebook's cells."""
+def rewrite(text: str, layout: str | None, edit: Callable[[str, str], str]) -> str:
+    """``text`` with ``edit(text, view)`` applied to it, or to each string of a ``json`` notebook's cells.
+
+    ``view`` is the text to look at: the text itself, or where JSON does not parse the text with its escapes blanked.
+    """
     j = _parsed(text) if layout == "json" else None
     if j is None:
-        return edit(text)
+        return edit(text, _ESCAPE.sub(lambda m: " " * len(m[0]), text) if layout == "json" else text)
     for c in j["cells"]:
         if isinstance(c, dict):
             for h, f in _cell_strings(c):
-                new = edit(_joined(h[f], f))
+                old = _joined(h[f], f)
+                new = edit(old, old)
                 h[f] = new.splitlines(keepends=f != "traceback") if isinstance(h[f], list) else new
     return json.dumps(j, indent=1)

@@ -35,6 +35,7 @@ _BLOB = re.compile(r"[a-z0-9+/=]{60,}")
 _CUT = re.compile(r"[\n\"\[\](){}<>=|;:]+|[.!?…]+\s+|'(?=\W)|(?<=\W)'")
 _GAP = re.compile(r"[^a-z0-9@$!*+]+")
 _DOUBLE = re.compile(r"(.)\1+")
+_SPELLED = re.compile(r"(?<![a-z0-9])[a-z](?:[-._][a-z](?![a-z0-9])){2,}")
 _NUMBERED = re.compile(r"^([a-z]+)[0-9]+$")
 _LETTERS = re.compile(r"[a-zÀ-ɏͰ-ӿ].*[a-zÀ-ɏͰ-ӿ]", re.S)
 
@@ -64,11 +65,15 @@ def _folded(text: str) -> str:
     return _BLOB.sub(" ", text)
 
 
+def _joined(m: re.Match) -> str:
+    return re.sub("[-._]", "", m[0])
+
+
 def _respelled(unit: str) -> str:
     """Words of a unit: single letters joined, letter signs read as letters, repeated letters once, numbers gone."""
     out: list[str] = []
     single: list[str] = []
-    for w in _GAP.split(unit):
+    for w in _GAP.split(_SPELLED.sub(_joined, unit)):
         if len(w) == 1 and w.isalpha():
             single.append(w)
             continue

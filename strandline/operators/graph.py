@@ -49,14 +49,20 @@ def edges(kmers: DataFrame) -> DataFrame:
     return pairs.groupBy("first", "second").agg(F.count("*").alias("weight"))
 
 
-def class_totals(assemblies: DataFrame) -> tuple[int, int]:
+def class_counts(assemblies: DataFrame) -> tuple[int, int]:
     """(targets, non-targets); an assembly of unknown class counts in neither."""
     r = assemblies.select("assembly_idx", "is_target").distinct().agg(F.count_if("is_target"), F.count_if(~F.col("is_target"))).first()
-    if not r[0] or not r[1]:
-        raise ValueError("at least one target and one non-target assembly are needed")
     return r[0], r[1]
 
 
+def class_totals(assemblies: DataFrame) -> tuple[int, int]:
+    """As :func:`class_counts`; an error where a class has no assembly."""
+    n = class_counts(assemblies)
+    if not all(n):
+        raise ValueError("at least one target and one non-target assembly are needed")
+    return n
+
+
 def score_nodes(kmers: DataFrame, assemblies: DataFrame, totals: tuple[int, int]) -> DataFrame:
     """``hash, n_occ, n_tar, n_neg, penalty`` of every node.
 
@@ -72,7 +78,8 @@ def score_nodes(kmers: DataFrame, assemblies: DataFrame, totals: tuple[int, int]
 
 
 def penalty(n_tar, n_neg, totals: tuple[int, int]):
-    absent, present = F.lit(1.0) - n_tar * F.lit(1.0 / totals[0]), n_neg * F.lit(1.0 / totals[1])
+    """A class without assemblies is one in which no node is found."""
+    absent, present = F.lit(1.0) - n_tar * F.lit(1.0 / max(1, totals[0])), n_neg * F.lit(1.0 / max(1, totals[1]))
     return F.sqrt(absent * absent + present * present)
 
 
@@ -92,7 +99,7 @@ def expected_rates(nodes: DataFrame, totals: tuple[int, int]) -> tuple[float, fl
     r = nodes.agg(F.sum(t), F.sum(t * t), F.sum(t * F.col("n_neg"))).first()
     if not r[0]:
         return 1.0, 0.0
-    return 1 - r[1] / totals[0] / r[0], r[2] / totals[1] / r[0]
+    return 1 - r[1] / max(1, totals[0]) / r[0], r[2] / max(1, totals[1]) / r[0]
 
 
 def thresholds(

@@ -28,6 +28,9 @@ def keyed_quantiles(df: DataFrame, key: str, value: str, probs: tuple[float, ...
             F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum(F.col("v").cast("decimal(38,0)")).alias("s")
         )
     )
+    base = level0.select(F.col("k"), "n", "lo", "hi")
+    if not probs:
+        return base.select(F.col("k").alias(key), "n", "lo", "hi", F.array().cast("array<bigint>").alias("quantiles"))
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
     rank = F.greatest(F.lit(1), F.least(F.col("n"), F.ceil(F.col("w.p") * F.col("n")))).cast("bigint")
     targets = level0.select("*", F.explode(wanted).alias("w")).select("k", "lo", "hi", "n", "s", F.col("w.i").alias("i"), rank.alias("r"))
@@ -36,7 +39,7 @@ def keyed_quantiles(df: DataFrame, key: str, value: str, probs: tuple[float, ...
     found = [done.where("q IS NOT NULL").select("k", "i", "q")]
     open_ = materialize(done.where("q IS NULL").select("k", "i", "r", "lo", "hi"))
     held = None
-    while probs and not open_.isEmpty():
+    while not open_.isEmpty():
         if held is None:  # from here on only the rows of unresolved keys are read
             keys = open_.select(F.col("k").alias("k2")).distinct()
             held = materialize(rows.join(keys, F.col("k").eqNullSafe(F.col("k2")), "left_semi"))
@@ -48,9 +51,6 @@ def keyed_quantiles(df: DataFrame, key: str, value: str, probs: tuple[float, ...
     q = found[0]
     for f in found[1:]:
         q = q.union(f)
-    base = level0.select(F.col("k"), "n", "lo", "hi")
-    if not probs:
-        return base.select(F.col("k").alias(key), "n", "lo", "hi", F.array().cast("array<bigint>").alias("quantiles"))
     # every q row is one of at most len(probs) per key: a bounded list
     lists = q.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("quantiles"))
     lists = lists.withColumnRenamed("k", "k2")

@@ -31,7 +31,7 @@ def _occ(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, tuple[int, int]]:
     a = _assemblies(spark, d)
-    totals = graph.class_totals(a)
+    totals = graph.class_counts(a)
     return graph.score_nodes(_occ(spark, d), a, totals), totals
 
 
@@ -163,7 +163,7 @@ def locations(spark: SparkSession, d: str) -> DataFrame:
 
 def representatives(spark: SparkSession, d: str) -> DataFrame:
     loc = materialize(_locations(spark, d))
-    n_tar = graph.class_totals(_assemblies(spark, d))[0]
+    n_tar = max(1, graph.class_counts(_assemblies(spark, d))[0])
     r = markers.candidates(markers.representatives(loc, markers.representative_orders(loc)), 22, n_tar)
     return r.select("subgraph_id", "assembly_idx", "record_no", "start", "stop", "n_rep", "n_nodes", _nine("rep_ratio"))
 
@@ -302,7 +302,7 @@ _A = "a AS (SELECT DISTINCT assembly_idx, is_target FROM assemblies)"
 _R = "r AS (SELECT DISTINCT record_idx, assembly_idx, record_no, record_id, seq FROM records)"
 _O = f"""WITH RECURSIVE {_A}, {_R},
      o AS (SELECT assembly_idx, record_no, hash, pos::BIGINT AS pos FROM (SELECT DISTINCT kmer_no, hash, pos, record_idx FROM kmers) JOIN r USING (record_idx))"""
-_T = "t AS (SELECT count(*) FILTER (is_target) AS nt, count(*) FILTER (NOT is_target) AS nn FROM a)"
+_T = "t AS (SELECT greatest(1, count(*) FILTER (is_target)) AS nt, greatest(1, count(*) FILTER (NOT is_target)) AS nn FROM a)"
 _N = f"""{_O}, {_T},
      q AS (SELECT hash, assembly_idx, count(*) AS n FROM o GROUP BY ALL),
      m AS (SELECT hash, sum(n)::BIGINT AS n_occ, count(*) FILTER (is_target)::INT AS n_tar, count(*) FILTER (NOT is_target)::INT AS n_neg
@@ -364,9 +364,10 @@ SELECT DISTINCT assembly_idx, record_no, m.hash AS hash, -m.neg AS pos FROM w WH
     "node_counts": f"{_O} SELECT hash, count(*) AS n_occ FROM o GROUP BY ALL",
     "edge_weights": f"{_E} SELECT * FROM e",
     "node_penalties": f"{_N} SELECT hash, n_occ, n_tar, n_neg, round(penalty, 9) AS penalty FROM n",
-    "thresholds": f"""{_N}, w AS (SELECT 1 - sum(n_tar * n_tar)::DOUBLE / any_value(nt) / sum(n_tar) AS ab, sum(n_tar * n_neg)::DOUBLE / any_value(nn) / sum(n_tar) AS pr,
-              any_value(nt) AS nt FROM n, t), th AS (SELECT *, least(0.2::DOUBLE, 0.5::DOUBLE * sqrt(ab * pr)) AS p FROM w)
-SELECT round(ab, 9) AS absence, round(pr, 9) AS presence, round(p, 9) AS penalty_th, round(0.3::DOUBLE * (1 - p) * nt, 9) AS edge_th,
+    "thresholds": f"""{_N}, w AS (SELECT CASE WHEN sum(n_tar) > 0 THEN 1 - sum(n_tar * n_tar)::DOUBLE / any_value(nt) / sum(n_tar) ELSE 1 END AS ab,
+              CASE WHEN sum(n_tar) > 0 THEN sum(n_tar * n_neg)::DOUBLE / any_value(nn) / sum(n_tar) ELSE 0 END AS pr FROM n, t),
+     th AS (SELECT *, least(0.2::DOUBLE, 0.5::DOUBLE * sqrt(ab * pr)) AS p, (SELECT count(*) FROM a WHERE is_target) AS n FROM w)
+SELECT round(ab, 9) AS absence, round(pr, 9) AS presence, round(p, 9) AS penalty_th, round(0.3::DOUBLE * (1 - p) * n, 9) AS edge_th,
        greatest(3, 200 // {(GAP + 1) // 2} + 1)::INT AS min_nodes, 100::INT AS max_nodes FROM th""",
     "heavy_edges": f"{_E} SELECT * FROM e WHERE weight > {WEIGHT_TH}",
     "connected_nodes": f"""{_E}, h AS (SELECT * FROM e WHERE weight > {WEIGHT_TH})
@@ -409,8 +410,8 @@ FROM m LEFT JOIN b USING (qseqid), n GROUP BY m.qseqid, len""",
     "expected_fractions": f"""{_S}, f AS (SELECT a AS x, b AS y, 2 * jaccard / (1 + jaccard) AS f FROM j UNION ALL SELECT b, a, 2 * jaccard / (1 + jaccard) FROM j),
      tt AS (SELECT assembly_idx FROM a WHERE is_target), nn AS (SELECT assembly_idx FROM a WHERE NOT is_target),
      c AS (SELECT (SELECT count(*) FROM tt) AS nt, (SELECT count(*) FROM nn) AS nn)
-SELECT round(1 - ((SELECT coalesce(sum(f), 0) FROM f WHERE x IN (FROM tt) AND y IN (FROM tt)) + nt) / (nt * nt)::DOUBLE, 9) AS absence,
-       round((SELECT coalesce(sum(f), 0) FROM f WHERE x IN (FROM nn) AND y IN (FROM tt)) / (nn * nt)::DOUBLE, 9) AS presence FROM c""",
+SELECT round(1 - ((SELECT coalesce(sum(f), 0) FROM f WHERE x IN (FROM tt) AND y IN (FROM tt)) + nt) / greatest(1, nt * nt)::DOUBLE, 9) AS absence,
+       round((SELECT coalesce(sum(f), 0) FROM f WHERE x IN (FROM nn) AND y IN (FROM tt)) / greatest(1, nn * nt)::DOUBLE, 9) AS presence FROM c""",
     "shared_cells": "SELECT DISTINCT run_no, round(n_keep / n_signatures::DOUBLE, 9) AS fraction FROM runs",
     "repeated_ids": f"WITH {_R} SELECT record_id, count(*) AS n, count(DISTINCT assembly_idx) AS n_assemblies FROM r WHERE record_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
     "even_chunks": f"WITH {_A} SELECT assembly_idx, ntile(16) OVER (ORDER BY assembly_idx)::INT AS chunk FROM a",

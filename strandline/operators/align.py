@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.sequence import revcomp
 from strandline.operators import kernels as K
+from strandline.session import spread
 
 SEED, BAND, _BLOCK = 16, 16, 256
 MATCH, MISMATCH, GAP, LAMBDA, KAPPA = 2, -4, -5, 1.28, 0.46
@@ -52,8 +53,8 @@ def seed_hits(queries: DataFrame, records: DataFrame, k: int = SEED, step: int |
     step = step or max(1, k // 2)
     q = queries.select("qseqid", F.upper("seq").alias("seq"))
     both = q.withColumn("strand", F.lit(1)).union(q.select("qseqid", revcomp(F.col("seq")), F.lit(-1)))
-    qs = both.select(F.struct("qseqid", "strand").alias("id"), "seq").mapInArrow(partial(_seeds, k=k, step=1), "id struct<qseqid:int,strand:int>, seed bigint, at bigint")
-    rs = records.where("seq IS NOT NULL").select(F.struct("assembly_idx", "record_no").alias("id"), "seq")
+    qs = spread(both.select(F.struct("qseqid", "strand").alias("id"), "seq")).mapInArrow(partial(_seeds, k=k, step=1), "id struct<qseqid:int,strand:int>, seed bigint, at bigint")
+    rs = spread(records.where("seq IS NOT NULL").select(F.struct("assembly_idx", "record_no").alias("id"), "seq"))
     rs = rs.mapInArrow(partial(_seeds, k=k, step=step), "id struct<assembly_idx:int,record_no:int>, seed bigint, at bigint")
     a = qs.select(F.col("id").alias("q"), "seed", F.col("at").alias("qa"))
     b = rs.select(F.col("id").alias("r"), "seed", F.col("at").alias("ra"))

@@ -15,6 +15,8 @@ import pyarrow.csv as pcsv
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.session import spread
+
 FIELDS = ["assembly_idx", "record_no", "record_id", "note", "length", "seq"]
 SCHEMA = (
     "line_no bigint, ok boolean, reason string, assembly_idx bigint, record_no bigint, record_id string, note string,"
@@ -36,7 +38,8 @@ def parse_lines(df: DataFrame, line_no: str = "line_no", line: str = "line") ->
     and comes out as NULL. Repeated rows come out as often as they went in. An empty frame gives no rows; other columns
     of ``df`` are ignored. Runs unchanged on a stream.
     """
-    return df.select(F.col(line_no).cast("bigint").alias("line_no"), F.col(line).cast("string").alias("line")).mapInArrow(_parse, SCHEMA)
+    rows = df.select(F.col(line_no).cast("bigint").alias("line_no"), F.col(line).cast("string").alias("line"))
+    return (rows if df.isStreaming else spread(rows)).mapInArrow(_parse, SCHEMA)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.sequence import canonical, hash60
 from strandline.operators import kernels as K
+from strandline.session import spread
 
 KMERS = "assembly_idx int, record_no int, hash bigint, pos bigint"
 # Fixed values of the public rolling hash: the seeds of A, C, G, T and the multiplier and shift of the extended hash.
@@ -20,9 +21,14 @@ NT_MULTIPLIER, NT_SHIFT = 0x90B45D39FB6DA1FA, 27
 
 
 def portable_kmers(records: DataFrame, k: int) -> DataFrame:
-    """Every k-mer of A C G T: ``assembly_idx, record_no, pos, hash`` by :func:`hash60` of the canonical string."""
+    """Every k-mer of A C G T: ``assembly_idx, record_no, pos, hash`` by :func:`hash60` of the canonical string.
+
+    Records are partitioned before they are cut, so windows over a record's k-mers need no shuffle of the k-mers.
+    """
     at = F.explode(F.sequence(F.lit(0), F.length("seq") - k))
     rows = records.where(F.length("seq") >= k).select("assembly_idx", "record_no", F.upper("seq").alias("seq"))
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, else small records are put into one
+    rows = rows.repartition(parts, "assembly_idx", "record_no")
     kmer = rows.select("assembly_idx", "record_no", "seq", at.alias("pos")).select(
         "assembly_idx", "record_no", F.col("pos").cast("bigint").alias("pos"), F.expr(f"substring(seq, pos + 1, {k})").alias("kmer")
     )
@@ -45,26 +51,42 @@ def minimizers(records: DataFrame, k: int = 21, w: int = 200) -> DataFrame:
     A C G T, so such a letter does not end a window. The hash is strand-insensitive and stored so that signed order is the
     order of the unsigned value. Records with fewer than w k-mers have no minimizer.
     """
-    rows = records.select("assembly_idx", "record_no", F.coalesce("seq", F.lit("")).alias("seq"))
+    rows = spread(records.select("assembly_idx", "record_no", F.coalesce("seq", F.lit("")).alias("seq")))
     return rows.mapInArrow(partial(_sketch, k=k, w=w), KMERS)
 
 
 def nt_hashes(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(selecting hash, identifying hash) of the k-mer at each position of one record; other letters give no meaning."""
+    """(selecting hash, identifying hash) of the k letters from each position; other letters give no meaning.
+
+    A hash of a + b letters is put together from one of a and one of b, so k letters take about log k steps.
+    """
     seeds = np.array([*NT_SEEDS, 0], np.uint64)
-    n = len(code) - k + 1
-    s, c = seeds[code], seeds[np.where(code < 4, 3 - code, 4)]
-    fwd, rev = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for i in range(k):
-        fwd ^= _turned(s[i : i + n], k - 1 - i)
-        rev ^= _turned(c[i : i + n], i)
+    fwd, rev, size = seeds[code], seeds[np.where(code < 4, 3 - code, 4)], 1
+    out = None
+    left = k
+    while True:
+        if left & 1:
+            out = (fwd, rev, size) if out is None else _put(out, (fwd, rev, size))
+        left >>= 1
+        if not left:
+            break
+        fwd, rev, size = _put((fwd, rev, size), (fwd, rev, size))
     with np.errstate(over="ignore"):
-        low = fwd + rev
+        low = out[0] + out[1]
         high = low * np.uint64((1 ^ (k * NT_MULTIPLIER)) & 0xFFFFFFFFFFFFFFFF)
         high ^= high >> np.uint64(NT_SHIFT)
     return low, high
 
 
+def _put(x: tuple, y: tuple) -> tuple:
+    """Hashes of the letters of x followed by those of y."""
+    (fx, rx, a), (fy, ry, b) = x, y
+    fwd, rev = _turned(fx, b), rx.copy()
+    fwd[: len(fwd) - a] ^= fy[a:]
+    rev[: len(rev) - a] ^= _turned(ry[a:], a)
+    return fwd, rev, a + b
+
+
 def _turned(x: np.ndarray, by: int) -> np.ndarray:
     """Rotate the upper 31 and the lower 33 bits apart."""
     a, b = by % 31, by % 33
@@ -74,33 +96,41 @@ def _turned(x: np.ndarray, by: int) -> np.ndarray:
     return (up << np.uint64(33)) | lo
 
 
-def record_minimizers(code: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash as signed order-preserving BIGINT) of one record's minimizers."""
+def row_minimizers(code: np.ndarray, off: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, position in it, hash as order-preserving BIGINT) of the minimizers of many rows at once."""
     none = np.zeros(0, np.int64)
-    if len(code) < k + w - 1:
-        return none, none
+    n = len(code)
+    if n < k + w - 1:
+        return none, none, none
     bad = np.concatenate([[0], np.cumsum(code > 3)])
-    at = np.flatnonzero(bad[k:] == bad[:-k])
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    i = np.arange(n - k + 1)
+    at = np.flatnonzero((bad[k:] == bad[:-k]) & (i + k <= off[row[: n - k + 1] + 1]))
     if len(at) < w:
-        return none, none
+        return none, none, none
     low, high = nt_hashes(code, k)
-    p = at[np.unique(K.window_argmin(low[at], w)[: len(at) - w + 1])]
-    return p, K.signed(high[p] ^ np.uint64(1 << 63))
+    owner = row[at]
+    best = K.window_argmin(low[at], w)[: len(at) - w + 1]
+    p = at[np.unique(best[owner[: len(at) - w + 1] == owner[w - 1 :]])]
+    return row[p], p - off[row[p]], K.signed(high[p] ^ np.uint64(1 << 63))
+
+
+def record_minimizers(code: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of one record's minimizers."""
+    return row_minimizers(code, np.array([0, len(code)]), k, w)[1:]
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], k: int, w: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         code, off = K.letters(b.column(2))
-        a, r, h, p = [], [], [], []
-        for i, (x, y) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-            pos, hashes = record_minimizers(code[off[i] : off[i + 1]], k, w)
-            a.append(np.full(len(pos), x))
-            r.append(np.full(len(pos), y))
-            h.append(hashes)
-            p.append(pos)
-        if a:
-            cols = [pa.array(np.concatenate(c), t) for c, t in ((a, pa.int32()), (r, pa.int32()), (h, pa.int64()), (p, pa.int64()))]
+        at = 0
+        while at < b.num_rows:  # whole rows, about a million letters at a time
+            end = max(at + 1, int(np.searchsorted(off, off[at] + K.PIECE, "right")) - 1)
+            row, pos, h = row_minimizers(code[off[at] : off[end]], off[at : end + 1] - off[at], k, w)
+            src = pa.array(row + at)
+            cols = [b.column(0).take(src).cast(pa.int32()), b.column(1).take(src).cast(pa.int32()), pa.array(h), pa.array(pos)]
             yield pa.RecordBatch.from_arrays(cols, ["assembly_idx", "record_no", "hash", "pos"])
+            at = end
 
 
 def bottom_sketch(hashes: DataFrame, key: str, value: str, s: int) -> DataFrame:

@@ -41,6 +41,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reach_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Before costly Python work: deal the rows of an input of fewer blocks than cores to all cores.
+
+    An input of as many blocks or more, which any large one is, stays where it was read: its rows are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    run = df._jdf.queryExecution()
+    if run.executedPlan().nodeName() == "AdaptiveSparkPlan":  # adaptive execution cuts what a shuffle gives into parts of 64 MB
+        small = int(run.optimizedPlan().stats().sizeInBytes()) < cores * (64 << 20)
+    else:
+        small = run.toRdd().getNumPartitions() < cores
+    return df.repartition(cores) if small else df
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The cluster's shared folder from ``spark.checkpoint.dir``; only where that is unset, one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.notebooks import plain_text, rewrite
+from strandline.session import spread
 
 _WORD = re.compile(r"[^\W_]+")
 _ASCII = bytes(b if chr(b).isalnum() and b < 128 else 32 for b in range(256)).lower()
@@ -170,7 +171,7 @@ def leaks(docs: DataFrame, key: str, text: str, layout: str | None, items: DataF
     out = spark.createDataFrame([], _LEAKS)
     for block in _blocks(items, item, item_text):
         sent = spark.sparkContext.broadcast((block, least))
-        out = out.union(rows.mapInArrow(partial(_scan, sent=sent), _LEAKS))
+        out = out.union(spread(rows).mapInArrow(partial(_scan, sent=sent), _LEAKS))
     return out.distinct()
 
 
@@ -212,7 +213,7 @@ def remove_leaks(
         F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"), (F.col(layout) if layout else F.lit(None).cast("string")).alias("l")
     )
     sent = [spark.sparkContext.broadcast((b, min(floor, least))) for b in _blocks(items, item, item_text)]
-    return rows.mapInArrow(partial(_cut, sent=sent, least=least, coverage=coverage), _CLEAN).distinct()
+    return spread(rows).mapInArrow(partial(_cut, sent=sent, least=least, coverage=coverage), _CLEAN).distinct()
 
 
 def _cut(batches: Iterator[pa.RecordBatch], sent: list, least: int, coverage: float) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import kernels as K
 from strandline.operators.components import connected_components
-from strandline.session import materialize, release
+from strandline.session import materialize, release, spread
 
 _SIGNED = "id bigint, digest string, n_strings int, sig array<bigint>"
 
@@ -97,7 +97,7 @@ def near_duplicates(
     """
     need = Fraction(str(threshold))
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(seq), F.lit("")).alias("seq"))
-    signed = materialize(rows.mapInArrow(partial(_sign, k=k, coords=coords), _SIGNED))
+    signed = materialize(spread(rows).mapInArrow(partial(_sign, k=k, coords=coords), _SIGNED))
     classes = materialize(signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")))
     posted = coords - least + 1
     lists = classes.select("rep", F.posexplode(F.slice("sig", 1, posted)).alias("c", "v")).select("rep", F.xxhash64("c", "v").alias("p"))

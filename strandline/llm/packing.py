@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.ranking import row_numbers
-from strandline.session import materialize
+from strandline.session import spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pre-tokenizer pattern of the byte-level vocabulary.
@@ -39,7 +39,7 @@ def tokenizer(path: str):
 def token_lengths(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """``key, n_tokens`` of the whole text; a NULL text has 0 tokens. One row per distinct (key, length)."""
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    out = rows.mapInArrow(partial(_lengths, path=vocabulary), "id bigint, n_tokens bigint").distinct()
+    out = spread(rows).mapInArrow(partial(_lengths, path=vocabulary), "id bigint, n_tokens bigint").distinct()
     return out.withColumnRenamed("id", key)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators import kernels as K
-from strandline.session import materialize
+from strandline.session import materialize, spread
 
 _UNITS = "h bigint, id bigint, owner bigint, pos bigint, reach int, around binary"
 
@@ -36,7 +36,7 @@ def units(df: DataFrame, key: str, seq: str, min_len: int, owner: str | None = N
     rows = df.where(F.col(key).isNotNull()).select(
         F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(owner or key).cast("bigint"), F.lit(-(2**63))).alias("owner"), F.coalesce(F.col(seq), F.lit("")).alias("seq")
     )
-    return rows.mapInArrow(partial(_units, k=k, w=min_len - k + 1), _UNITS)
+    return spread(rows).mapInArrow(partial(_units, k=k, w=min_len - k + 1), _UNITS)
 
 
 def _units(batches: Iterator[pa.RecordBatch], k: int, w: int) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.notebooks import plain_text
-from strandline.session import materialize, release
+from strandline.session import materialize, release, spread
 
 # Digits and signs that stand for letters, and letters of other scripts that look like Latin ones.
 LEET = str.maketrans("01345789@$!+", "oieastbgasit")
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, key: str, text: str, layout: str | None, labels: DataFr
     y = y.where(F.col(label).isNotNull()).groupBy(F.col(key).cast("bigint").alias("id")).agg(F.avg(F.col(label).cast("double")).alias("t"))
     y = y.where("t <> 0.5").select("id", (F.col("t") > 0.5).cast("int").alias("y"), F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("fold"))
     marked = _rows(docs, key, text, layout).dropDuplicates(["id"]).join(y, "id")
-    cut = materialize(marked.mapInArrow(partial(_cut, words=s.words), "id bigint, y int, fold int, w array<string>"))
+    cut = materialize(spread(marked).mapInArrow(partial(_cut, words=s.words), "id bigint, y int, fold int, w array<string>"))
     size = {r[0]: r[1] for r in cut.groupBy("y").count().collect()}
     if len(size) < 2:
         return None
@@ -275,7 +275,7 @@ def score(docs: DataFrame, key: str, text: str, layout: str | None, model: Model
     """
     rows = _rows(docs, key, text, layout)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of bounded size
-    out = rows.mapInArrow(partial(_score, sent=sent, words=words), _SCORED).distinct()
+    out = spread(rows).mapInArrow(partial(_score, sent=sent, words=words), _SCORED).distinct()
     return out.select("doc_id", "score", (F.col("n_toxic") > 0).alias("toxic"), "n_toxic", "passage")
 
 

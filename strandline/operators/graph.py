@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,3 +169,48 @@ def induced_edges(edge: DataFrame, members: DataFrame, by: str = "subgraph_id")
     a = members.select(F.col(by), F.col("hash").alias("first"))
     b = members.select(F.col(by).alias("_g"), F.col("hash").alias("second"))
     return edge.join(a, "first").join(b, "second").where(F.col(by) == F.col("_g")).select(by, "first", "second", "weight")
+
+
+#: Paths looked at in one subgraph; a denser one is ordered by the best of these.
+MAX_PATHS = 1000
+
+
+def leaf_paths(adjacent: dict[int, set[int]], most: int = MAX_PATHS) -> list[list[int]]:
+    """Simple paths between the two nodes of one edge, in the order of their nodes; none where there are not exactly two."""
+    leaves = sorted(n for n, m in adjacent.items() if len(m) == 1 and n not in m)
+    if len(leaves) != 2:
+        return []
+    found, stack = [], [[leaves[0]]]
+    while stack and len(found) < most:
+        path = stack.pop()
+        if path[-1] == leaves[1]:
+            found.append(path)
+            continue
+        stack += [[*path, n] for n in sorted(adjacent[path[-1]], reverse=True) if n not in path]
+    return found
+
+
+def graph_orders(induced: DataFrame, reps: DataFrame) -> DataFrame:
+    """``subgraph_id, path, warning``: the order of a subgraph's nodes that its edges give, held against ``reps`` (subgraph_id, rep).
+
+    Of several paths between the two leaves the one that is the representative in either direction is taken, else the
+    longest. Warnings: ``non-linear`` (no two leaves), ``multi-paths``, ``inconsistent`` (no path is the representative). A
+    subgraph has at most as many nodes as its growth allowed, so one is a task's work.
+    """
+    rep = reps.select("subgraph_id", F.array_join("rep", ",").alias("nodes"))
+    rows = induced.select("subgraph_id", F.col("first").cast("string").alias("a"), F.col("second").cast("string").alias("b")).join(rep, "subgraph_id", "left")
+
+    def order(part: pd.DataFrame) -> pd.DataFrame:
+        adjacent: dict[int, set[int]] = {}
+        for a, b in zip(map(int, part["a"]), map(int, part["b"]), strict=True):
+            adjacent.setdefault(a, set()).add(b)
+            adjacent.setdefault(b, set()).add(a)
+        nodes = part["nodes"].iloc[0]
+        want = [int(x) for x in nodes.split(",")] if nodes else []
+        paths = leaf_paths(adjacent)
+        same = [p for p in paths if p in (want, want[::-1])]
+        best = same[0] if same else max(paths, key=lambda p: (len(p), [-x for x in p]), default=[])
+        warn = ["non-linear"] if not paths else ["multi-paths"] * (len(paths) > 1) + ["inconsistent"] * (not same)
+        return pd.DataFrame([(int(part["subgraph_id"].iloc[0]), ",".join(map(str, best)), ",".join(warn))], columns=["subgraph_id", "path", "warning"])
+
+    return rows.groupBy("subgraph_id").applyInPandas(order, "subgraph_id bigint, path string, warning string")

@@ -126,6 +126,12 @@ def subgraph_shapes(spark: SparkSession, d: str) -> DataFrame:
     return graph.linear_graphs(graph.induced_edges(edge, sub), "subgraph_id")
 
 
+def graph_orders(spark: SparkSession, d: str) -> DataFrame:
+    sub, edge = _grown(spark, d)
+    loc = markers.locations(markers.kmers_of(_occ(spark, d), sub), _assemblies(spark, d), 21, GAP)
+    return graph.graph_orders(graph.induced_edges(edge, sub), markers.representative_orders(loc))
+
+
 def node_degrees(spark: SparkSession, d: str) -> DataFrame:
     return graph.degrees(edge_weights(spark, d))
 
@@ -291,7 +297,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fasta_roundtrip, record_offsets, record_to_assembly, canonical_kmers, minimizers, rolling_minimizers, node_counts, edge_weights, node_penalties,
-        thresholds, heavy_edges, connected_nodes, seed_nodes, graph_components, subgraphs, subgraph_shapes, node_degrees, directed_paths, merged_paths,
+        thresholds, heavy_edges, connected_nodes, seed_nodes, graph_components, subgraphs, subgraph_shapes, graph_orders, node_degrees, directed_paths, merged_paths,
         kmers_in_nodes, run_summaries, locations, representatives, strands, fetched_sequences, signature_headers, signature_csv, best_hits,
         marker_metrics, bottom_sketches, sketch_jaccard, expected_fractions, shared_cells, repeated_ids, even_chunks, weighted_modes, seed_hits,
         alignments, search_names, event_sessions,

@@ -95,3 +95,11 @@ def test_runs_orders_and_strands(spark):
 
     rep = F.array(*[F.lit(x).cast("bigint") for x in (1, 2, 3)])
     assert [r[0] for r in s.select(markers.strand(F.col("k"), rep)).collect()] == ["+", "-", "+", "-", "u", "?", "?"]
+
+
+def test_orders_of_linear_and_other_subgraphs(spark):
+    e = [(0, 1, 2), (0, 2, 3), (1, 1, 2), (1, 2, 3), (1, 3, 1), (2, 1, 2), (2, 2, 3), (2, 3, 5), (2, 2, 4), (2, 4, 5), (2, 5, 6)]
+    induced = spark.createDataFrame([(*x, 1) for x in e], "subgraph_id bigint, first bigint, second bigint, weight bigint")
+    reps = spark.createDataFrame([(0, [3, 2, 1]), (2, [6, 5, 4, 2, 1])], "subgraph_id bigint, rep array<bigint>")
+    got = {r[0]: (r[1], r[2]) for r in graph.graph_orders(induced, reps).collect()}
+    assert got == {0: ("1,2,3", ""), 1: ("", "non-linear"), 2: ("1,2,4,5,6", "multi-paths")}

@@ -59,7 +59,8 @@ def _sets(col: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def _sign(batches: Iterator[pa.RecordBatch], k: int, coords: int) -> Iterator[pa.RecordBatch]:
-    seeds = K.mix(np.arange(1, coords + 1, dtype=np.uint64), 77)
+    # one scattering of the codes, then a multiply-add of 64 bits for each coordinate
+    times, plus = K.mix(np.arange(1, coords + 1, dtype=np.uint64), 77) | np.uint64(1), K.mix(np.arange(1, coords + 1, dtype=np.uint64), 78)
     for b in batches:
         ids, digests, sizes, sigs = [], [], [], []
         for i, s in zip(b.column(0).to_pylist(), _sets(b.column(1), k), strict=True):
@@ -67,7 +68,7 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, coords: int) -> Iterator[pa
                 continue
             low = np.full(coords, np.iinfo(np.uint64).max, np.uint64)
             for at in range(0, len(s), 4096):
-                low = np.minimum(low, K.mix(s[at : at + 4096][:, None] ^ seeds[None, :]).min(axis=0))
+                low = np.minimum(low, (K.mix(s[at : at + 4096])[:, None] * times + plus).min(axis=0))
             ids.append(i)
             digests.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
             sizes.append(len(s))

@@ -46,7 +46,9 @@ def token_lengths(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULA
 def _lengths(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     enc = tokenizer(path)
     for b in batches:
-        n = [len(enc.encode_ordinary(t)) for t in b.column(1).to_pylist()]
+        n = []
+        for at in range(0, b.num_rows, 256):  # few texts are Python strings at a time
+            n += [len(enc.encode_ordinary(t)) for t in b.column(1).slice(at, 256).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["id", "n_tokens"])
 
 

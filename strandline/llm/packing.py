@@ -109,8 +109,9 @@ def pack(lengths: DataFrame, key: str, n_tokens: str, containers: DataFrame) ->
     if any(c > MAX_CAPACITY for _, c in kinds):
         raise ValueError(f"capacities above {MAX_CAPACITY} are not planned")
     docs = lengths.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.coalesce(F.col(n_tokens), F.lit(0)).cast("bigint").alias("n")).distinct()
-    cap = spark.createDataFrame([(str(a), b) for a, b in kinds], "container string, capacity bigint")
-    items = docs.crossJoin(F.broadcast(cap)).select(  # the few kinds, each over all documents
+    each = [F.struct(F.lit(str(a)).alias("container"), F.lit(b).cast("bigint").alias("capacity")) for a, b in kinds]
+    kind = F.explode(F.array(*each).cast("array<struct<container:string,capacity:bigint>>")).alias("c")
+    items = docs.select("id", "n", kind).select("c.container", "id", "n", "c.capacity").select(
         "container", "id", "n", "capacity",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.expr("(n + capacity - 1) DIV capacity - 1")))).alias("piece"),
     )

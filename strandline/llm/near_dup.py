@@ -80,9 +80,10 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, coords: int) -> Iterator[pa
 
 
 def near_duplicates(
-    df: DataFrame, key: str, seq: str, threshold: float = 0.5, k: int = 15, coords: int = 32, least: int = 7, hot: int = 512
-) -> DataFrame:
-    """``key, group_id, n_links`` for every distinct non-NULL key; ``group_id`` is the smallest key of its group.
+    df: DataFrame, key: str, seq: str, threshold: float = 0.5, k: int = 15, coords: int = 32, least: int = 7, hot: int = 512,
+    count_links: bool = True,
+) -> DataFrame:
+    """``key, group_id, n_links`` (the last only with ``count_links``) for every distinct non-NULL key; ``group_id`` is the smallest key of its group.
 
     Likeness is the number of distinct k-letter strings found in both sequences by those found in either; case is ignored,
     a string counts as its reverse complement, letters other than A C G T are in no string. A group is all records linked,
@@ -94,7 +95,8 @@ def near_duplicates(
 
     A posting list of more than ``hot`` classes is not paired off: its members are first linked to its smallest member, so
     a group of many versions of one text is found in a linear number of comparisons, and only members that end in
-    different groups are then paired, in blocks of a sort-merge join that adaptive execution splits.
+    different groups are then paired, in blocks of a sort-merge join that adaptive execution splits. Its links inside a
+    group are counted only for ``n_links``: all pairs, as signatures and then exactly, in blocks of 256 classes.
     """
     need = Fraction(str(threshold))
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(seq), F.lit("")).alias("seq"))
@@ -109,6 +111,7 @@ def near_duplicates(
     met = small.select("p", F.col("rep").alias("a")).hint("merge").join(small.select("p", F.col("rep").alias("b")), "p").where("a < b").select("a", "b").distinct()
     texts = (rows, k, need, least)
     links = materialize(_linked(met, classes, *texts))
+    member = None
     if not large.isEmpty():
         star = lists.join(large, "p").where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
         links = materialize(links.union(_linked(star, classes, *texts)).distinct())
@@ -119,7 +122,16 @@ def near_duplicates(
         rest = x.hint("merge").join(y, "p").where("a < b AND ca <> cb").select("a", "b").distinct()
         links = materialize(links.union(_linked(rest, classes, *texts)).distinct())
     comp = connected_components(links)
-    count = links.select(F.explode(F.array("a", "b")).alias("r")).groupBy("r").agg(F.count("*").alias("n_links"))
+    ends = links
+    if member is not None and count_links:  # pairs of two members are counted by blocks, whichever list they met in
+        many = materialize(member.select("rep").distinct())
+        ends = links.join(many.select(F.col("rep").alias("a"), F.lit(True).alias("ha")), "a", "left")
+        ends = ends.join(many.select(F.col("rep").alias("b"), F.lit(True).alias("hb")), "b", "left").where("ha IS NULL OR hb IS NULL")
+    count = ends.select(F.explode(F.array("a", "b")).alias("r"), F.lit(1).cast("bigint").alias("n"))
+    if ends is not links:
+        inside = many.join(comp, F.col("rep") == F.col("node")).select("rep", F.col("component").alias("g"))
+        count = count.union(_counted(inside, classes, *texts))
+    count = count.groupBy("r").agg(F.sum("n").alias("n_links"))
     label = classes.select("digest", "rep").join(comp, F.col("rep") == F.col("node"), "left").join(count, F.col("rep") == F.col("r"), "left")
     label = label.select("digest", F.coalesce("component", "rep").alias("g"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
     found = signed.select("id", "digest").distinct().join(label, "digest")
@@ -132,7 +144,8 @@ def near_duplicates(
     everyone = rows.select("id").distinct()
     out = everyone.join(per.select("id", "g", "n_links"), "id", "left")
     release(lists, large)
-    return out.select(F.col("id").alias(key), F.coalesce("g", "id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    out = out.select(F.col("id").alias(key), F.coalesce("g", "id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    return out if count_links else out.drop("n_links")
 
 
 def _linked(met: DataFrame, classes: DataFrame, rows: DataFrame, k: int, need: Fraction, least: int) -> DataFrame:
@@ -159,6 +172,58 @@ def _exact(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Ite
         yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
+def _counted(members: DataFrame, classes: DataFrame, rows: DataFrame, k: int, need: Fraction, least: int) -> DataFrame:
+    """``r, n``: the links of each member (rep, g) to members of its group, in parts. Every two salted blocks of a group meet."""
+    text = rows.join(members.select(F.col("rep").alias("id")), "id", "left_semi").groupBy(F.col("id").alias("rep")).agg(F.max("seq").alias("seq"))
+    full = materialize(members.join(classes.select("rep", "sig"), "rep").join(text, "rep"))
+    blocks = F.greatest(F.ceil(F.count("*") / 256), F.ceil(F.sum(F.length("seq")) / (1 << 23)))
+    salted = full.join(full.groupBy("g").agg(blocks.alias("nb")), "g").withColumn("s", F.pmod(F.xxhash64("rep"), F.col("nb")))
+    unit = salted.withColumn("o", F.explode(F.expr("sequence(0L, nb - 1)")))
+    unit = unit.select("g", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "s", "rep", "sig", "seq")
+
+    def count(t: pa.Table) -> pa.Table:
+        return _count_block(t, k, need.numerator, need.denominator, least)
+
+    return unit.groupBy("g", "i", "j").applyInArrow(count, "r bigint, n bigint")
+
+
+def _count_block(t: pa.Table, k: int, num: int, den: int, least: int) -> pa.Table:
+    rep, s = t["rep"].to_numpy(), t["s"].to_numpy()
+    sig = t["sig"].combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+    i, j = t["i"][0].as_py(), t["j"][0].as_py()
+    left, right = np.flatnonzero(s == i), np.flatnonzero(s == j)
+    agree = np.zeros((len(left), len(right)), np.int32)
+    for c in range(sig.shape[1]):
+        agree += sig[left, c][:, None] == sig[right, c]
+    link = agree >= least
+    if i == j:
+        link = np.triu(link, 1)
+    if link.any():
+        sets = list(_sets(t["seq"].combine_chunks(), k))
+        size = np.array([len(x) for x in sets])
+        both = _shared([sets[x] for x in left], [sets[x] for x in right])
+        link &= (both * den >= num * (size[left][:, None] + size[right] - both)) & (both > 0)
+    n = np.concatenate([link.sum(axis=1), link.sum(axis=0)])
+    return pa.table({"r": pa.array(np.concatenate([rep[left], rep[right]]), pa.int64()), "n": pa.array(n, pa.int64())}).filter(pa.array(n > 0))
+
+
+def _shared(xs: list[np.ndarray], ys: list[np.ndarray], wide: int = 4096) -> np.ndarray:
+    """How many strings each of ``xs`` has in common with each of ``ys``: products of 0/1 tiles, summed."""
+    out = np.zeros((len(xs), len(ys)), np.int64)
+    _, name, held = np.unique(np.concatenate([*xs, *ys]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(xs) + len(ys)), [len(x) for x in [*xs, *ys]])
+    keep = held[name] > 1  # a string of one set is in no intersection
+    name, row = (np.cumsum(held > 1) - 1)[name[keep]], row[keep]
+    by = np.argsort(name, kind="stable")
+    name, row = name[by], row[by]
+    for at in range(0, int(name[-1]) + 1 if len(name) else 0, wide):
+        a, b = np.searchsorted(name, [at, at + wide])
+        tile = np.zeros((len(xs) + len(ys), wide), np.float32)
+        tile[row[a:b], name[a:b] - at] = 1
+        out += (tile[: len(xs)] @ tile[len(xs) :].T).astype(np.int64)
+    return out
+
+
 def group_pairs(groups: DataFrame, key: str) -> DataFrame:
     """(record_a, record_b): all pairs of keys of the same group, smaller key first. Its size is the result's own."""
     a = groups.select(F.col("group_id").alias("g"), F.col(key).alias("record_a"))

@@ -58,6 +58,28 @@ def test_near_duplicates_by_brute_force(spark, hot):
     assert len(pairs) == sum(1 for a in got for b in got if a < b and got[a] == got[b])
 
 
+def test_links_are_counted_alike_whatever_list_they_met_in(spark):
+    r = random.Random(7)
+    base = ["".join(r.choice("ACGT") for _ in range(300)) for _ in range(2)]
+    texts = []
+    for n, b in zip((310, 40), base, strict=True):  # more than a block of 256 in the first family
+        for _ in range(n):
+            s = list(b)
+            for _ in range(r.randint(0, 5)):
+                s[r.randrange(len(s))] = r.choice("ACGT")
+            texts.append((len(texts), "".join(s)))
+    sets = {i: frozenset(_set(s, 15)) for i, s in texts}
+    classes = set(sets.values())
+    links = {a: sum(1 for b in classes if a != b and 2 * len(a & b) >= len(a | b)) for a in classes}
+    want = {i: links[s] for i, s in sets.items()}
+    df = spark.createDataFrame(texts, "key bigint, seq string")
+    # least=1, so that no pair near the threshold is left to the signatures' chance
+    for hot in (512, 3):
+        got = {x["key"]: x["n_links"] for x in near_dup.near_duplicates(df, "key", "seq", hot=hot, least=1).collect()}
+        assert got == want
+    assert near_dup.near_duplicates(df, "key", "seq", hot=3, count_links=False).columns == ["key", "group_id"]
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "key bigint, seq string")
     assert rows(near_dup.near_duplicates(df, "key", "seq")) == []

@@ -275,9 +275,9 @@ def seed_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def alignments(spark: SparkSession, d: str) -> DataFrame:
-    """Signatures aligned to all records."""
+    """Signatures aligned to all records, with the seeds and the E-value of a run."""
     q = table(spark, d, "signatures").select(F.col("sig_no").cast("int").alias("qseqid"), "seq").distinct()
-    return align.align(q, _records(spark, d), 1e-5, 24).drop("sseq")
+    return align.align(q, _records(spark, d)).drop("sseq")
 
 
 def search_names(spark: SparkSession, d: str) -> DataFrame:

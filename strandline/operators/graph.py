@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 import pandas as pd
@@ -171,31 +172,115 @@ def induced_edges(edge: DataFrame, members: DataFrame, by: str = "subgraph_id")
     return edge.join(a, "first").join(b, "second").where(F.col(by) == F.col("_g")).select(by, "first", "second", "weight")
 
 
-#: Paths looked at in one subgraph; a denser one is ordered by the best of these.
-MAX_PATHS = 1000
+#: Parts of one subgraph looked at for its longest path; where these do not do, the path is marked as not searched.
+MAX_PARTS = 20_000
 
 
-def leaf_paths(adjacent: dict[int, set[int]], most: int = MAX_PATHS) -> list[list[int]]:
-    """Simple paths between the two nodes of one edge, in the order of their nodes; none where there are not exactly two."""
-    leaves = sorted(n for n, m in adjacent.items() if len(m) == 1 and n not in m)
-    if len(leaves) != 2:
+def leaves_of(adjacent: dict[int, set[int]]) -> list[int]:
+    """The nodes of one edge, in order."""
+    return sorted(n for n, m in adjacent.items() if len(m) == 1 and n not in m)
+
+
+def is_path(nodes: list[int], adjacent: dict[int, set[int]], first: int, last: int) -> bool:
+    """Whether the nodes are a simple path from ``first`` to ``last``."""
+    if not nodes or nodes[0] != first or nodes[-1] != last or len(set(nodes)) < len(nodes):
+        return False
+    return all(b in adjacent[a] for a, b in zip(nodes, nodes[1:], strict=False))
+
+
+def route(adjacent: dict[int, set[int]], inside: frozenset[int], first: int, last: int) -> list[tuple[int, int, frozenset[int]]]:
+    """``entry, exit, nodes`` of the blocks (parts that no single node cuts) that every simple path from first to last runs through.
+
+    A block of two nodes is an edge; any other has at least two paths from its entry to its exit. None: last is out of reach.
+    """
+    if first == last:
         return []
-    found, stack = [], [[leaves[0]]]
-    while stack and len(found) < most:
-        path = stack.pop()
-        if path[-1] == leaves[1]:
-            found.append(path)
-            continue
-        stack += [[*path, n] for n in sorted(adjacent[path[-1]], reverse=True) if n not in path]
-    return found
+    at, low, order = {first: 0}, {first: 0}, [first]  # order: nodes of blocks not yet closed
+    parent, todo = {first: first}, [(first, iter(adjacent[first]))]
+    up: dict[int, tuple[int, frozenset[int]]] = {}  # node: the cut node over it and the block that holds both
+    while todo:
+        node, rest = todo[-1]
+        for n in rest:
+            if n not in inside or n == node:
+                continue
+            if n not in at:
+                parent[n], at[n], low[n] = node, len(at), len(at)
+                order.append(n)
+                todo.append((n, iter(adjacent[n])))
+                break
+            if n != parent[node]:
+                low[node] = min(low[node], at[n])
+        else:
+            todo.pop()
+            if todo:
+                over = todo[-1][0]
+                low[over] = min(low[over], low[node])
+                if low[node] >= at[over]:
+                    cut = order.index(node)
+                    block = frozenset([over, *order[cut:]])
+                    for n in order[cut:]:
+                        up[n] = (over, block)
+                    del order[cut:]
+    if last not in at:
+        return []
+    found, node = [], last
+    while node != first:
+        over, block = up[node]
+        found.append((over, node, block))
+        node = over
+    return found[::-1]
+
+
+def longest_path(adjacent: dict[int, set[int]], first: int, last: int, most: int = MAX_PARTS) -> tuple[list[int], bool]:
+    """The longest simple path between two nodes, of equal ones the first in the order of nodes, and whether all were searched.
+
+    A path runs through the blocks of its route one by one, so each has its own longest part; in a block every next node
+    leaves a smaller graph. Parts met again are known, and a path over all nodes of a block ends its search. Beyond
+    ``most`` parts a path is still given, the longest met.
+    """
+    known: dict[tuple[int, int, frozenset[int]], list[int]] = {}
+    whole = True
+
+    def through(here: int, inside: frozenset[int]) -> list[int]:
+        path = [here]
+        for a, b, block in route(adjacent, inside, here, last_of[-1]):
+            path += part(a, b, block)[1:]
+        return path if path[-1] == last_of[-1] else []
+
+    def part(a: int, b: int, block: frozenset[int]) -> list[int]:
+        nonlocal whole
+        if len(block) == 2:
+            return [a, b]
+        if (a, b, block) in known:
+            return known[a, b, block]
+        best: list[int] = []
+        left = block - {a}
+        last_of.append(b)
+        for n in sorted(adjacent[a] & left):
+            if best and len(known) >= most:
+                whole = False
+                break
+            tail = through(n, left)
+            if tail and len(tail) + 1 > len(best):
+                best = [a, *tail]
+            if len(best) == len(block):
+                break
+        last_of.pop()
+        known[a, b, block] = best
+        return best
+
+    last_of = [last]
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 3 * len(adjacent) + 1000))  # a path of n nodes is 2 n calls deep
+    return through(first, frozenset(adjacent)), whole
 
 
 def graph_orders(induced: DataFrame, reps: DataFrame) -> DataFrame:
     """``subgraph_id, path, warning``: the order of a subgraph's nodes that its edges give, held against ``reps`` (subgraph_id, rep).
 
     Of several paths between the two leaves the one that is the representative in either direction is taken, else the
-    longest. Warnings: ``non-linear`` (no two leaves), ``multi-paths``, ``inconsistent`` (no path is the representative). A
-    subgraph has at most as many nodes as its growth allowed, so one is a task's work.
+    longest. Warnings: ``non-linear`` (no two leaves), ``multi-paths``, ``inconsistent`` (no path is the representative),
+    ``unsearched`` (the longest path was not fully searched for, so the one given may be shorter). None of the others
+    depends on that search. A subgraph has at most as many nodes as its growth allowed, so one is a task's work.
     """
     rep = reps.select("subgraph_id", F.array_join("rep", ",").alias("nodes"))
     rows = induced.select("subgraph_id", F.col("first").cast("string").alias("a"), F.col("second").cast("string").alias("b")).join(rep, "subgraph_id", "left")
@@ -207,10 +292,13 @@ def graph_orders(induced: DataFrame, reps: DataFrame) -> DataFrame:
             adjacent.setdefault(b, set()).add(a)
         nodes = part["nodes"].iloc[0]
         want = [int(x) for x in nodes.split(",")] if nodes else []
-        paths = leaf_paths(adjacent)
-        same = [p for p in paths if p in (want, want[::-1])]
-        best = same[0] if same else max(paths, key=lambda p: (len(p), [-x for x in p]), default=[])
-        warn = ["non-linear"] if not paths else ["multi-paths"] * (len(paths) > 1) + ["inconsistent"] * (not same)
+        leaves = leaves_of(adjacent)
+        blocks = route(adjacent, frozenset(adjacent), *leaves) if len(leaves) == 2 else []
+        best, warn = [], ["non-linear"]
+        if blocks:
+            same = [w for w in (want, want[::-1]) if is_path(w, adjacent, *leaves)]
+            best, whole = (same[0], True) if same else longest_path(adjacent, *leaves)
+            warn = ["multi-paths"] * any(len(m) > 2 for _, _, m in blocks) + ["inconsistent"] * (not same) + ["unsearched"] * (not whole)
         return pd.DataFrame([(int(part["subgraph_id"].iloc[0]), ",".join(map(str, best)), ",".join(warn))], columns=["subgraph_id", "path", "warning"])
 
     return rows.groupBy("subgraph_id").applyInPandas(order, "subgraph_id bigint, path string, warning string")

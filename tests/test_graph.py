@@ -103,3 +103,66 @@ def test_orders_of_linear_and_other_subgraphs(spark):
     reps = spark.createDataFrame([(0, [3, 2, 1]), (2, [6, 5, 4, 2, 1])], "subgraph_id bigint, rep array<bigint>")
     got = {r[0]: (r[1], r[2]) for r in graph.graph_orders(induced, reps).collect()}
     assert got == {0: ("1,2,3", ""), 1: ("", "non-linear"), 2: ("1,2,4,5,6", "multi-paths")}
+
+
+def _simple_paths(adjacent, first, last):
+    found, todo = [], [[first]]
+    while todo:
+        path = todo.pop()
+        if path[-1] == last:
+            found.append(path)
+        else:
+            todo += [[*path, n] for n in adjacent[path[-1]] if n not in path]
+    return found
+
+
+def test_longest_path_by_brute_force():
+    r = random.Random(3)
+    for _ in range(300):
+        n = r.randint(3, 9)
+        adjacent = {i: set() for i in range(n)}
+        for _ in range(r.randint(n, 2 * n)):
+            a, b = r.randrange(n), r.randrange(n)
+            adjacent[a].add(b)
+            adjacent[b].add(a)
+        paths = _simple_paths(adjacent, 0, n - 1)
+        want = min(paths, key=lambda p: (-len(p), p), default=[])
+        assert graph.longest_path(adjacent, 0, n - 1) == (want, True)
+        blocks = graph.route(adjacent, frozenset(adjacent), 0, n - 1)
+        assert any(len(m) > 2 for _, _, m in blocks) == (len(paths) > 1)
+        assert all(graph.is_path(p, adjacent, 0, n - 1) for p in paths)
+
+
+def test_orders_of_more_paths_than_can_be_listed(spark):
+    e, last = [], 1
+    for _ in range(12):  # 2^12 paths; a bubble's later way is by one node longer
+        e += [(last, last + 1), (last + 1, last + 4), (last, last + 2), (last + 2, last + 3), (last + 3, last + 4)]
+        last += 4
+    e = [(0, 1), *e, (last, last + 1)]
+    short, long = [0, 1], [0, 1]
+    for at in range(1, last, 4):
+        short += [at + 1, at + 4]
+        long += [at + 2, at + 3, at + 4]
+    short, long = [*short, last + 1], [*long, last + 1]
+    late = [*long[:-4], *short[-3:]]
+    clique = [(0, 1), *[(a, b) for a in range(1, 15) for b in range(1, a)], (14, 15)]
+    rungs = [x for i in range(0, 80, 2) for x in ((i, i + 2), (i + 1, i + 3), (i, i + 1))] + [(80, 81)]
+    induced = [(0, e), (1, e), (2, clique), (3, [(-1, 0), *rungs, (81, 82)])]
+    induced = spark.createDataFrame([(g, *x, 1) for g, es in induced for x in es], "subgraph_id bigint, first bigint, second bigint, weight bigint")
+    reps = spark.createDataFrame([(0, late[::-1]), (1, [5, 4])], "subgraph_id bigint, rep array<bigint>")
+    got = {r[0]: (r[1], r[2]) for r in graph.graph_orders(induced, reps).collect()}
+    text = lambda p: ",".join(map(str, p))
+    assert got[0] == (text(late), "multi-paths")
+    assert got[1] == (text(long), "multi-paths,inconsistent")
+    assert got[2] == (text(range(16)), "multi-paths,inconsistent")
+    assert got[3][1] == "multi-paths,inconsistent" and len(got[3][0].split(",")) == 84
+
+
+def test_a_search_cut_short_is_told():
+    r = random.Random(5)
+    adjacent = {i: set() for i in range(40)}
+    for a, b in [(0, 1), (38, 39), *[tuple(r.sample(range(1, 39), 2)) for _ in range(90)]]:
+        adjacent[a].add(b)
+        adjacent[b].add(a)
+    path, whole = graph.longest_path(adjacent, 0, 39, most=20)
+    assert not whole and graph.is_path(path, adjacent, 0, 39)

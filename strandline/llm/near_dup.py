@@ -23,7 +23,7 @@ from strandline.operators import kernels as K
 from strandline.operators.components import connected_components
 from strandline.session import materialize, release, spread
 
-_SIGNED = "id bigint, digest string, n_strings int, sig array<bigint>"
+_SIGNED = "id bigint, mark bigint, digest string, n_strings int, sig array<bigint>"
 
 
 def string_sets(code: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
@@ -62,21 +62,22 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, coords: int) -> Iterator[pa
     # one scattering of the codes, then a multiply-add of 64 bits for each coordinate
     times, plus = K.mix(np.arange(1, coords + 1, dtype=np.uint64), 77) | np.uint64(1), K.mix(np.arange(1, coords + 1, dtype=np.uint64), 78)
     for b in batches:
-        ids, digests, sizes, sigs = [], [], [], []
-        for i, s in zip(b.column(0).to_pylist(), _sets(b.column(1), k), strict=True):
+        ids, marks, digests, sizes, sigs = [], [], [], [], []
+        for i, mark, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), _sets(b.column(1), k), strict=True):
             if not len(s):
                 continue
             low = np.full(coords, np.iinfo(np.uint64).max, np.uint64)
             for at in range(0, len(s), 4096):
                 low = np.minimum(low, (K.mix(s[at : at + 4096])[:, None] * times + plus).min(axis=0))
             ids.append(i)
+            marks.append(mark)
             digests.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
             sizes.append(len(s))
             sigs.append(low)
         if ids:
             flat = pa.array(K.signed(np.concatenate(sigs)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, coords, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests), pa.array(sizes, pa.int32()), lists], ["id", "digest", "n_strings", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(digests), pa.array(sizes, pa.int32()), lists], ["id", "mark", "digest", "n_strings", "sig"])
 
 
 def near_duplicates(
@@ -87,8 +88,7 @@ def near_duplicates(
 
     Likeness is the number of distinct k-letter strings found in both sequences by those found in either; case is ignored,
     a string counts as its reverse complement, letters other than A C G T are in no string. A group is all records linked,
-    directly or through others, by a likeness of ``threshold`` or more. Records with equal sets are one class, represented
-    by its smallest key; ``n_links`` counts the links from a record's class to other classes. NULL, empty or short
+    directly or through others, by a likeness of ``threshold`` or more. Records with equal sets are one class; ``n_links`` counts the links from a record's class to other classes. NULL, empty or short
     sequences hold no string and stay alone. A repeated row counts once; of several sequences under one key each counts.
 
     A pair of likeness exactly 0.5 is missed with probability 3e-4 by the defaults, a likelier pair far less.
@@ -100,8 +100,16 @@ def near_duplicates(
     """
     need = Fraction(str(threshold))
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(seq), F.lit("")).alias("seq"))
+    rows = rows.withColumn("mark", F.xxhash64("seq"))  # tells the texts of one key
     signed = materialize(spread(rows).mapInArrow(partial(_sign, k=k, coords=coords), _SIGNED))
-    classes = materialize(signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")))
+    named = signed.groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("of"), F.first("sig").alias("sig"))
+    for salt in range(64):  # numbers of classes, not of keys: a key of several texts may stand for several
+        classes = materialize(named.select("digest", "sig", "of.*", F.xxhash64("digest", F.lit(salt)).alias("rep")))
+        if classes.groupBy("rep").count().where("count > 1").isEmpty():
+            break
+        release(classes)
+    else:
+        raise RuntimeError("classes could not be numbered")
     posted = coords - least + 1
     lists = classes.select("rep", F.posexplode(F.slice("sig", 1, posted)).alias("c", "v")).select("rep", F.xxhash64("c", "v").alias("p"))
     lists = materialize(lists)
@@ -134,7 +142,8 @@ def near_duplicates(
     count = count.groupBy("r").agg(F.sum("n").alias("n_links"))
     label = classes.select("digest", "rep").join(comp, F.col("rep") == F.col("node"), "left").join(count, F.col("rep") == F.col("r"), "left")
     label = label.select("digest", F.coalesce("component", "rep").alias("g"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    found = signed.select("id", "digest").distinct().join(label, "digest")
+    found = signed.select("id", "digest").distinct().join(label, "digest").withColumnRenamed("g", "part")
+    found = found.join(found.groupBy("part").agg(F.min("id").alias("g")), "part")
     # a key with several sequences joins their groups
     per = found.groupBy("id").agg(F.min("g").alias("g"), F.max("g").alias("g2"), F.sum("n_links").alias("n_links"))
     per = materialize(per)
@@ -155,14 +164,17 @@ def _linked(met: DataFrame, classes: DataFrame, rows: DataFrame, k: int, need: F
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
     near = met.join(sig_a, "a").join(sig_b, "b").where(agree >= least).select("a", "b")
     near = materialize(near)
-    ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # one text a key: the class of a key is found by its digest, so any of a key's repeated rows will do
-    text = rows.join(ids, "id", "left_semi").groupBy("id").agg(F.max("seq").alias("seq"))
-    text = materialize(text)
-    both = near.join(text.select(F.col("id").alias("a"), F.col("seq").alias("ta")), "a").join(text.select(F.col("id").alias("b"), F.col("seq").alias("tb")), "b")
+    text = materialize(_texts(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), classes, rows))
+    both = near.join(text.select(F.col("rep").alias("a"), F.col("seq").alias("ta")), "a").join(text.select(F.col("rep").alias("b"), F.col("seq").alias("tb")), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(partial(_exact, k=k, num=need.numerator, den=need.denominator), "a bigint, b bigint")
 
 
+def _texts(reps: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rep, seq``: the text that each class (rep) was numbered by; of repeated rows any will do."""
+    of = classes.join(reps, "rep", "left_semi").select("rep", "id", "mark")
+    return rows.join(of, ["id", "mark"]).groupBy("rep").agg(F.max("seq").alias("seq"))
+
+
 def _exact(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ok = []
@@ -174,8 +186,7 @@ def _exact(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Ite
 
 def _counted(members: DataFrame, classes: DataFrame, rows: DataFrame, k: int, need: Fraction, least: int) -> DataFrame:
     """``r, n``: the links of each member (rep, g) to members of its group, in parts. Every two salted blocks of a group meet."""
-    text = rows.join(members.select(F.col("rep").alias("id")), "id", "left_semi").groupBy(F.col("id").alias("rep")).agg(F.max("seq").alias("seq"))
-    full = materialize(members.join(classes.select("rep", "sig"), "rep").join(text, "rep"))
+    full = materialize(members.join(classes.select("rep", "sig"), "rep").join(_texts(members.select("rep"), classes, rows), "rep"))
     blocks = F.greatest(F.ceil(F.count("*") / 256), F.ceil(F.sum(F.length("seq")) / (1 << 23)))
     salted = full.join(full.groupBy("g").agg(blocks.alias("nb")), "g").withColumn("s", F.pmod(F.xxhash64("rep"), F.col("nb")))
     unit = salted.withColumn("o", F.explode(F.expr("sequence(0L, nb - 1)")))

@@ -58,6 +58,16 @@ def test_near_duplicates_by_brute_force(spark, hot):
     assert len(pairs) == sum(1 for a in got for b in got if a < b and got[a] == got[b])
 
 
+@pytest.mark.parametrize("hot", [512, 1])
+def test_each_text_of_a_key_is_compared_as_itself(spark, hot):
+    r = random.Random(12)
+    low, high = ("A" * 3 + "".join(r.choice("ACGT") for _ in range(200)), "T" * 3 + "".join(r.choice("ACGT") for _ in range(200)))
+    texts = [(1, low), (1, high), (2, low + "G"), (3, high + "C"), (4, low + "C"), (5, "".join(r.choice("ACGT") for _ in range(200)))]
+    df = spark.createDataFrame(texts, "key bigint, seq string")
+    got = rows(near_dup.near_duplicates(df, "key", "seq", hot=hot))
+    assert got == [(1, 1, 3), (2, 1, 2), (3, 1, 1), (4, 1, 2), (5, 5, 0)]
+
+
 def test_links_are_counted_alike_whatever_list_they_met_in(spark):
     r = random.Random(7)
     base = ["".join(r.choice("ACGT") for _ in range(300)) for _ in range(2)]

@@ -20,6 +20,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,38 +31,54 @@ from strandline.session import materialize, release, spread
 # Digits and signs that stand for letters, and letters of other scripts that look like Latin ones.
 LEET = str.maketrans("01345789@$!+", "oieastbgasit")
 LOOKALIKES = str.maketrans("асеорхуіјѕԁһкмтвнгԛѡαοερνικτυχ", "aceopxyijsdhkmtbhrqwaoepviktux")
+# Scripts written without spaces, each letter of which is taken as a word; marks over and under letters that
+# are spelling only (Latin, Greek and Cyrillic accents, Hebrew points, Arabic vowel signs).
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff])")
+_MARKS = re.compile("[\u0300-\u036f\u0591-\u05c7\u064b-\u0652]")
 
 _BLOB = re.compile(r"[a-z0-9+/=]{60,}")
-_CUT = re.compile(r"[\n\"\[\](){}<>=|;:]+|[.!?…]+\s+|'(?=\W)|(?<=\W)'")
+_CUT = re.compile(r"[\n\"\[\](){}<>=|;:\u3001\u3002\uff0c\uff01\uff1f]+|[.!?…\u061f\u0964]+\s+|'(?=\W)|(?<=\W)'")
 _GAP = re.compile(r"[^a-z0-9@$!*+]+")
+_WIDE_GAP = regex.compile(r"[^\p{L}\p{M}\p{N}@$!*+]+")
 _DOUBLE = re.compile(r"(.)\1+")
 _SPELLED = re.compile(r"(?<![a-z0-9])[a-z](?:[-._][a-z](?![a-z0-9])){2,}")
-_NUMBERED = re.compile(r"^([a-z]+)[0-9]+$")
-_LETTERS = re.compile(r"[a-zÀ-ɏͰ-ӿ].*[a-zÀ-ɏͰ-ӿ]", re.S)
+_NUMBERED = re.compile(r"^([^\W\d_]+)[0-9]+$")
+_LETTER = re.compile(r"[^\W\d_]")
+_LATIN = re.compile(r"[a-z]")
+_LONG = 24  # letters of a word; longer ones are cut
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds and sizes; none of them depends on the data."""
+    """Bounds and sizes; none of them depends on the data. The bounds are on rows to fit on; every document is scored."""
 
     words: int = 14  #: a window's most words; longer units are cut into windows that overlap by half
-    least_docs: int = 3  #: toxic documents that a telling phrase occurs in
-    purity: float = 0.7  #: share of a telling phrase's labelled documents that are marked toxic
-    evidence: float = 15.0  #: summed log-likelihood ratio of a toxic training window's telling phrases
-    share: float = 0.3  #: share of a toxic training window's phrases that are telling; ordinary ones have under a third of it
-    phrases: int = 50_000  #: most telling phrases kept, the strongest
+    labelled: int = 50_000  #: most labelled documents fitted on, by a hash of the key
+    unlabelled: int = 20_000  #: most other documents in which a first fit looks for further training windows
+    purity: float = 0.6  #: share of a telling phrase's labelled documents that are marked toxic
+    share: float = 0.25  #: share of a toxic training window's phrases that are telling; ordinary ones have under a third of it
+    strength: float = 1.75  #: evidence of a toxic training window, in telling phrases of the least number of documents
+    near: float = 0.97  #: thresholds that tell held-out documents apart as well as this share of the best are as good
     toxic_windows: int = 6_000  #: most toxic training windows of each fold
     plain_windows: int = 30_000  #: most ordinary training windows of each fold
     dictionary: int = 110_000  #: bytes of a dictionary
     level: int = 9
 
+    def least_docs(self, n: int) -> int:
+        """Toxic documents that a telling phrase occurs in: of more labels, more agree by chance."""
+        return max(2, round(math.log10(max(n, 1)) - 1))
+
+    def evidence(self, n: int, toxic: float) -> float:
+        """Summed log-likelihood ratio of a toxic training window's telling phrases, ``toxic`` being the share so marked."""
+        return self.strength * self.least_docs(n) * math.log(1 / toxic)
+
 
 def _folded(text: str) -> str:
     if text.isascii():
         text = text.lower()
     else:
-        text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Cf")).lower().translate(LOOKALIKES)
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
+        text = unicodedata.normalize("NFC", "".join(c for c in text if unicodedata.category(c) != "Cf")).lower()
     return _BLOB.sub(" ", text)
 
 
@@ -69,25 +86,43 @@ def _joined(m: re.Match) -> str:
     return re.sub("[-._]", "", m[0])
 
 
+def _disguised(unit: str) -> str:
+    """Look-alike letters read as Latin ones: in words that mix them, and beside Latin words in words made of them alone."""
+    out, latin = [], bool(_LATIN.search(unit))
+    for w in unit.split(" "):
+        seen = w.translate(LOOKALIKES)
+        plain = all(c.isascii() for c in seen if c.isalpha())
+        out.append(seen if latin and plain else w)
+    return " ".join(out)
+
+
 def _respelled(unit: str) -> str:
-    """Words of a unit: single letters joined, letter signs read as letters, repeated letters once, numbers gone."""
+    """Words of a unit: single letters joined, letter signs read as letters, repeated letters once, numbers gone, words of
+    over 24 letters cut."""
+    gap = _GAP
+    if not unit.isascii():
+        gap = _WIDE_GAP
+        unit = _UNSPACED.sub(r" \1 ", _disguised(gap.sub(" ", unit)))
     out: list[str] = []
     single: list[str] = []
-    for w in _GAP.split(_SPELLED.sub(_joined, unit)):
-        if len(w) == 1 and w.isalpha():
+    for w in gap.split(_SPELLED.sub(_joined, unit)):
+        if len(w) == 1 and w.isalpha() and w.isascii():
             single.append(w)
             continue
         if single:
             out += ["".join(single)] if len(single) > 2 else single
             single = []
-        if not w or len(w) > 24:
+        if not w:
             continue
         if not w.isalpha():
             w = _NUMBERED.sub(r"\1", w.strip("!+"))
-            if not any("a" <= c <= "z" for c in w):
+            if not _LETTER.search(w):
                 continue
             if not w.isalpha():
                 w = w.translate(LEET)
+        if len(w) > _LONG:
+            out += [w[i : i + _LONG] for i in range(0, len(w), _LONG)]
+            continue
         out.append(w)
     if single:
         out += ["".join(single)] if len(single) > 2 else single
@@ -95,13 +130,16 @@ def _respelled(unit: str) -> str:
 
 
 def windows(text: str | None, layout: str | None, words: int = 14) -> list[str]:
-    """The distinct windows of a text: its units between line ends, sentence ends, quotes and brackets."""
+    """The distinct windows of a text: its units between line ends, sentence ends, quotes and brackets.
+
+    A unit that has a letter of any script is in a window, however short it is.
+    """
     found: dict[str, None] = {}
     for s in _CUT.split(_folded(plain_text(text, layout))):
-        if len(s) < 9 or not _LETTERS.search(s):
+        if not s or not _LETTER.search(s):
             continue
         u = _respelled(s)
-        if len(u) < 10 or " " not in u:
+        if not u:
             continue
         w = u.split(" ")
         if len(w) <= words:
@@ -165,50 +203,104 @@ class Model:
 def fit(docs: DataFrame, key: str, text: str, layout: str | None, labels: DataFrame, label: str, s: Settings = Settings()) -> Model | None:
     """Dictionaries and threshold from documents marked 0 or 1 in ``label``, by majority of their distinct marks.
 
-    Phrases are counted over all labelled documents. Training windows are a bounded sample, taken in the order of a hash.
-    None where there are no toxic and ordinary documents to learn from.
+    Fitted on a bounded sample, taken by hashes: at most about ``s.labelled`` labelled documents, and ``s.unlabelled``
+    others. Phrases are counted over all of the former; of several texts under one key each counts. What reaches the
+    driver is bounded by the settings, whatever the number of tasks. None where there are no toxic and ordinary documents
+    to learn from.
     """
+    spark = docs.sparkSession
     y = labels.select(key, label, *[c for c in ("annotator",) if c in labels.columns]).distinct()
-    y = y.where(F.col(label).isNotNull()).groupBy(F.col(key).cast("bigint").alias("id")).agg(F.avg(F.col(label).cast("double")).alias("t"))
-    y = y.where("t <> 0.5").select("id", (F.col("t") > 0.5).cast("int").alias("y"), F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("fold"))
-    marked = _rows(docs, key, text, layout).dropDuplicates(["id"]).join(y, "id")
+    y = y.where(F.col(label).isNotNull() & F.col(key).isNotNull())
+    y = y.groupBy(F.col(key).cast("bigint").alias("id")).agg(F.avg(F.col(label).cast("double")).alias("t")).where("t <> 0.5")
+    y = materialize(y.select("id", (F.col("t") > 0.5).cast("int").alias("y")))
+    part = min(1.0, s.labelled / max(1, y.count()))
+    rows = _rows(docs, key, text, layout)
+    others = min(1.0, s.unlabelled / max(1, rows.count()))
+    marked = rows.join(F.broadcast(y.where(_within("id", part, 1))), "id", "left")  # about s.labelled rows of two numbers
+    marked = marked.where(F.col("y").isNotNull() | _within("id", others, 2)).distinct()
+    marked = marked.select("id", "t", "l", "y", F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("fold"))
     cut = materialize(spread(marked).mapInArrow(partial(_cut, words=s.words), "id bigint, y int, fold int, w array<string>"))
-    size = {r[0]: r[1] for r in cut.groupBy("y").count().collect()}
+    known = cut.where("y IS NOT NULL")
+    size = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     if len(size) < 2:
+        release(y, cut)
         return None
-    share = size[1] / (size[0] + size[1])
+    total = size[0] + size[1]
+    share = size[1] / total
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
     n = n1 + n0
     like = n1 * F.log(n1 / n / share) + F.when(n0 > 0, n0 * F.log(n0 / n / (1 - share))).otherwise(0.0)
     told = (
-        cut.mapInArrow(_told, "p string, y int").groupBy("p").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
-        .where((F.col("n1") >= s.least_docs) & (n1 / n >= max(s.purity, share)))
-        .select("p", like.alias("l")).orderBy(F.desc("l"), "p").limit(s.phrases)
+        known.mapInArrow(_told, "p string, y int").groupBy("p").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
+        .where((F.col("n1") >= s.least_docs(total)) & (n1 / n >= max(s.purity, share)))
+        .select("p", like.alias("l"))
     )
-    weight = {r[0]: r[1] for r in told.collect()}
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(weight)
-    picked = materialize(cut.mapInArrow(partial(_pick, sent=sent, evidence=s.evidence, share=s.share), "fold int, toxic int, w string").distinct())
-    sample: dict[tuple[int, int], list[str]] = {}
-    for toxic, most in ((1, s.toxic_windows), (0, s.plain_windows)):
-        for fold in (0, 1):
-            part = picked.where((F.col("toxic") == toxic) & (F.col("fold") == fold)).select("w").orderBy(F.xxhash64("w"), "w").limit(most)
-            sample[toxic, fold] = [r[0] for r in part.collect()]
-    if not sample[1, 0] + sample[1, 1]:
+    sent = spark.sparkContext.broadcast({r[0]: r[1] for r in told.toLocalIterator()})  # phrases of the toxic part of the labelled sample
+    pick = partial(_pick, sent=sent, evidence=s.evidence(total, share), share=s.share)
+    sample = _sampled(known.mapInArrow(pick, _PICKED), s)
+    toxic, plain = {f: sample.get((1, f), []) for f in (0, 1)}, {f: sample.get((0, f), []) for f in (0, 1)}
+    if not toxic[0] + toxic[1]:
+        release(y, cut)
         return None
-    content = lambda toxic, folds: train([w for f in folds for w in sample[toxic, f]], s.dictionary, s.level)
-    pairs = {1 - f: (content(1, [f]), content(0, [f])) for f in (0, 1)}  # a fold is scored by what the other taught
-    sent = spark.sparkContext.broadcast((pairs, s.level))
-    hist = cut.mapInArrow(partial(_held_out, sent=sent), "y int, score double").groupBy(F.floor(F.col("score") * 10).cast("int").alias("at")).agg(
-        F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0")
-    )  # a few hundred cells
-    best, at, gain = 0.0, 10**6, 0.0
-    for r in sorted(hist.collect(), reverse=True):
-        gain += r["n1"] - r["n0"]
-        if gain > best:
-            best, at = gain, r["at"]
-    release(cut, picked)
-    return Model(content(1, [0, 1]), content(0, [0, 1]), max(at, 1) / 10, s.level)
+    more: list[str] = []
+
+    def taught(*folds: int) -> tuple[bytes, bytes]:
+        return (train([w for f in folds for w in toxic[f]] + more, s.dictionary, s.level), train([w for f in folds for w in plain[f]], s.dictionary, s.level))
+
+    def judged() -> tuple[dict, float]:
+        """The models that score fold 0, fold 1 and the unlabelled, and the threshold: a fold is scored by what the other taught."""
+        pairs = {0: taught(1), 1: taught(0), None: taught(0, 1)}
+        sent = spark.sparkContext.broadcast((pairs, s.level))
+        by = F.floor(F.col("score") * 10).cast("int").alias("at")
+        hist = known.mapInArrow(partial(_held_out, sent=sent), "y int, score double").groupBy(by).agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
+        return pairs, _threshold([(r[0], r[1] - r[2]) for r in hist.collect()], s.near)  # a few hundred cells
+
+    pairs, threshold = judged()
+    # a second look: windows that the first fit finds in documents it did not see teach the second
+    again = partial(_again, sent=spark.sparkContext.broadcast((pairs, s.level, threshold)))
+    found = _sampled(cut.where("y IS NULL OR y = 1").mapInArrow(again, _PICKED), s)
+    for f in (0, 1):
+        toxic[f] = list(dict.fromkeys(toxic[f] + found.get((1, f), [])))[: s.toxic_windows]
+    more = found.get((1, -1), [])
+    pairs, threshold = judged()
+    release(y, cut)
+    return Model(*pairs[None], threshold, s.level)
+
+
+def _within(key: str, part: float, salt: int):
+    """About ``part`` of the rows, by a hash of ``key``."""
+    return F.pmod(F.xxhash64(F.lit(salt), key), F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))
+
+
+def _sampled(windows: DataFrame, s: Settings) -> dict[tuple[int, int], list[str]]:
+    """Distinct windows by (toxic, fold), of each about as many as the settings allow, by hash; nothing more reaches the driver."""
+    picked = materialize(windows.distinct())
+    most = {1: s.toxic_windows, 0: s.plain_windows}
+    parts = {(r[0], r[1]): min(1.0, most[r[0]] / r[2]) for r in picked.groupBy("toxic", "fold").count().collect()}
+    out: dict[tuple[int, int], list[str]] = {}
+    for (toxic, fold), part in sorted(parts.items()):
+        of = picked.where((F.col("toxic") == toxic) & (F.col("fold") == fold) & _within("w", part, 3))
+        out[toxic, fold] = sorted(r[0] for r in of.select("w").collect())
+    release(picked)
+    return out
+
+
+def _threshold(gains: list[tuple[int, int]], near: float) -> float:
+    """The middle of the thresholds at which nearly the most toxic over ordinary documents are found; cells are tenths."""
+    total, sums = 0, {}
+    for at, gain in sorted(gains, reverse=True):
+        total += gain
+        sums[at] = total
+    best = max(sums.values(), default=0)
+    if best <= 0:
+        return 1e5
+    cells = range(max(1, min(sums)), max(sums) + 1)
+    held, good = 0, []
+    for at in reversed(cells):
+        held = sums.get(at, held)
+        if held >= near * best:
+            good.append(at)
+    return (good[0] + good[-1]) / 20 if good else 0.1
 
 
 def _rows(docs: DataFrame, key: str, text: str, layout: str | None) -> DataFrame:
@@ -232,6 +324,15 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(p), pa.array([y] * len(p), pa.int32())], ["p", "y"])
 
 
+_PICKED = "fold int, toxic int, w string"
+
+
+def _picks(out: list[tuple[int, int, str]]) -> Iterator[pa.RecordBatch]:
+    if out:
+        f, y, w = zip(*out, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array(y, pa.int32()), pa.array(w)], ["fold", "toxic", "w"])
+
+
 def _pick(batches: Iterator[pa.RecordBatch], sent, evidence: float, share: float) -> Iterator[pa.RecordBatch]:
     """Training windows: of toxic documents those made mostly of telling phrases, of ordinary ones those with few or none."""
     weight = sent.value
@@ -244,9 +345,19 @@ def _pick(batches: Iterator[pa.RecordBatch], sent, evidence: float, share: float
                 part = len(told) / len(phrases)
                 if (y and part >= share and sum(told) >= evidence) or (not y and part < share / 3):
                     out.append((fold, y, w))
-        if out:
-            f, y, w = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array(y, pa.int32()), pa.array(w)], ["fold", "toxic", "w"])
+        yield from _picks(out)
+
+
+def _again(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """Windows over the threshold in documents marked toxic (by the other fold's model) and in unlabelled ones (fold -1)."""
+    pairs, level, threshold = sent.value
+    by = {f: _distance(*p, level) for f, p in pairs.items()}
+    for b in batches:
+        out = []
+        for y, fold, ws in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            at = None if y is None else fold
+            out += [(-1 if at is None else at, 1, w) for w in ws if by[at].of(w) >= threshold]
+        yield from _picks(out)
 
 
 @lru_cache(maxsize=4)
@@ -270,8 +381,10 @@ def score(docs: DataFrame, key: str, text: str, layout: str | None, model: Model
     """``doc_id, score, toxic, n_toxic, passage`` for every distinct document: its most toxic window and how many exceed
     the threshold.
 
-    ``score`` is NULL and ``toxic`` false for a document without windows (NULL, empty, or no two words in a row) and for
-    all where no model could be fitted. Repeated rows count once; rows with a NULL key are left out; whole texts are read.
+    ``score`` is NULL and ``toxic`` false for a document without windows (NULL, empty, or without a letter) and for all
+    where no model could be fitted. Units of every length and script are scored, but of one under about 12 bytes, a single
+    short word, neither dictionary saves anything: it scores near 0. Repeated rows count once; rows with a NULL key are
+    left out; whole texts are read.
     """
     rows = _rows(docs, key, text, layout)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of bounded size

@@ -151,10 +151,47 @@ def test_spelling_is_undone():
     plain = w("you are a hopeless fool")
     for t in ("YOU_are_a_hopeless_fool", "you are a h0pele$$ f00l", "you are a h-o-p-e-l-e-s-s fool", "yo­u are​ a hopeless fool", "уоu аrе a hopeless fool", "you are a hopelessss fooool"):
         assert w(t) == plain, t
-    assert w("") == w(None) == w("x = 12.5") == []
+    assert w("") == w(None) == w("[12.5, 7]") == []
     assert len(w(" ".join(f"word{chr(97 + i % 26)}{chr(98 + i // 26)}" for i in range(200)))) > 20
 
 
+def test_units_of_every_length_and_script_are_kept():
+    w = lambda t: toxicity.windows(t, None)
+    assert w("fuck you") == ["fuck you"] and w("Idiot!") == ["idiot"] and w("x = 12.5") == ["x"]
+    assert w("ты тупая свинья") == ["ты тупая свинья"] and w("أنت غبي") == ["أنت غبي"] and w("तू मूर्ख है") == ["तू मूर्ख है"]
+    assert w("你是个白痴") == ["你 是 个 白 痴"] and w("σκάσε βλάκα") == ["σκασε βλακα"]
+    long = "wort" * 10
+    assert "".join(w(long)[0].split()) == long and all(len(x) <= 24 for x in w(long)[0].split())
+    # a look-alike beside Latin words is a disguise, a word of its own script is not
+    assert w("уоu idiоt") == ["you idiot"] and w("мне нехорошо") == ["мне нехорошо"]
+
+
+def test_held_out_accuracy_in_another_script(spark):
+    r = random.Random(5)
+    names = ["ветер", "город", "камень", "берег", "остров", "песок", "облако", "дорога"]
+    docs, truth = [], {}
+    for i in range(500):
+        lines = [f"здесь {r.choice(names)} виден рядом где {r.choice(names)} и {r.choice(names)}" for _ in range(6)]
+        truth[i] = r.random() < 0.15
+        if truth[i]:
+            lines.insert(r.randrange(6), f"ты мерзкая {r.choice(['жаба', 'крыса', 'вошь'])} и тебя все ненавидят")
+        docs.append((i, "\n".join(lines)))
+    df = spark.createDataFrame(docs, "key bigint, t string").repartition(3)
+    labels = spark.createDataFrame([(i, int(truth[i])) for i in range(300)], "key bigint, toxic int")
+    model = toxicity.fit(df, "key", "t", None, labels, "toxic")
+    got = {x["doc_id"] for x in toxicity.score(df, "key", "t", None, model).where("toxic").collect()}
+    want = {i for i in range(300, 500) if truth[i]}
+    new = {i for i in got if i >= 300}
+    assert len(new & want) >= 0.9 * len(want) and len(new & want) >= 0.9 * len(new)
+
+
+def test_what_a_fit_collects_is_bounded_by_its_settings(spark):
+    df = spark.createDataFrame([(1, i % 2, f"window {i}") for i in range(2000)] , "toxic int, fold int, w string").repartition(8)
+    got = toxicity._sampled(df, toxicity.Settings(toxic_windows=100))
+    assert set(got) == {(1, 0), (1, 1)} and all(60 <= len(x) <= 140 for x in got.values())
+    assert got == toxicity._sampled(df.repartition(3), toxicity.Settings(toxic_windows=100))
+
+
 def _corpus(r, n):
     names = [a + b for a in ("lan", "har", "vel", "mor", "tis") for b in ("tern", "bor", "let", "gan", "que")]
     bad = ["you are a rotten {} and everybody hates you", "go away forever you filthy {}", "nobody wants a disgusting {} like you here"]

@@ -30,7 +30,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         sign = new
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select("v", "v").distinct())
+    out = cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select("v", "v").distinct())
+    out._strandline_path = cur._strandline_path  # released as the table it reads
+    return out
 
 
 def _signature(e: DataFrame) -> tuple:

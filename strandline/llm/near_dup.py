@@ -80,93 +80,96 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, coords: int) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(digests), pa.array(sizes, pa.int32()), lists], ["id", "mark", "digest", "n_strings", "sig"])
 
 
-def near_duplicates(
-    df: DataFrame, key: str, seq: str, threshold: float = 0.5, k: int = 15, coords: int = 32, least: int = 7, hot: int = 512,
-    count_links: bool = True,
-) -> DataFrame:
-    """``key, group_id, n_links`` (the last only with ``count_links``) for every distinct non-NULL key; ``group_id`` is the smallest key of its group.
+def near_duplicates(df: DataFrame, key: str, seq: str, threshold: float = 0.5, k: int = 15, coords: int = 32, least: int = 7, hot: int = 512) -> DataFrame:
+    """``key, class_id, group_id`` for every distinct non-NULL key: the smallest keys of its class and of its group.
 
     Likeness is the number of distinct k-letter strings found in both sequences by those found in either; case is ignored,
     a string counts as its reverse complement, letters other than A C G T are in no string. A group is all records linked,
-    directly or through others, by a likeness of ``threshold`` or more. Records with equal sets are one class; ``n_links`` counts the links from a record's class to other classes. NULL, empty or short
-    sequences hold no string and stay alone. A repeated row counts once; of several sequences under one key each counts.
+    directly or through others, by a likeness of ``threshold`` or more; records with equal sets are one class. NULL, empty
+    or short sequences hold no string and stay alone. A repeated row counts once; of several sequences under one key each
+    counts, and the key is in the smallest of their classes. Other columns are ignored.
 
     A pair of likeness exactly 0.5 is missed with probability 3e-4 by the defaults, a likelier pair far less.
 
-    A posting list of more than ``hot`` classes is not paired off: its members are first linked to its smallest member, so
-    a group of many versions of one text is found in a linear number of comparisons, and only members that end in
-    different groups are then paired, in blocks of a sort-merge join that adaptive execution splits. Its links inside a
-    group are counted only for ``n_links``: all pairs, as signatures and then exactly, in blocks of 256 classes.
+    A posting list of more than ``hot`` classes is not paired off. Its members are linked to its smallest one, so a group
+    of many versions of one text is found in a linear number of comparisons. Where this leaves several groups, the list is
+    posted again under one more coordinate: two signatures that agree in ``least`` coordinates agree in a second one
+    too, so unrelated records that share one value part, and no pair is lost. ``hot`` changes the work, never the result.
     """
     need = Fraction(str(threshold))
+    temp: list[DataFrame] = []
+
+    def cut(frame: DataFrame) -> DataFrame:
+        temp.append(materialize(frame))
+        return temp[-1]
+
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(seq), F.lit("")).alias("seq"))
     rows = rows.withColumn("mark", F.xxhash64("seq"))  # tells the texts of one key
-    signed = materialize(spread(rows).mapInArrow(partial(_sign, k=k, coords=coords), _SIGNED))
+    signed = cut(spread(rows).mapInArrow(partial(_sign, k=k, coords=coords), _SIGNED))
     named = signed.groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("of"), F.first("sig").alias("sig"))
     for salt in range(64):  # numbers of classes, not of keys: a key of several texts may stand for several
-        classes = materialize(named.select("digest", "sig", "of.*", F.xxhash64("digest", F.lit(salt)).alias("rep")))
+        classes = cut(named.select("digest", "sig", "of.*", F.xxhash64("digest", F.lit(salt)).alias("rep")))
         if classes.groupBy("rep").count().where("count > 1").isEmpty():
             break
         release(classes)
     else:
         raise RuntimeError("classes could not be numbered")
+
+    def linked(met: DataFrame) -> DataFrame:
+        return _linked(met, classes, rows, k, need, least, cut)
+
     posted = coords - least + 1
-    lists = classes.select("rep", F.posexplode(F.slice("sig", 1, posted)).alias("c", "v")).select("rep", F.xxhash64("c", "v").alias("p"))
-    lists = materialize(lists)
-    sizes = lists.groupBy("p").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1")
-    large = materialize(sizes.where(F.col("n") > hot))
-    small = lists.join(sizes.where(F.col("n") <= hot).select("p"), "p", "left_semi")
-    met = small.select("p", F.col("rep").alias("a")).hint("merge").join(small.select("p", F.col("rep").alias("b")), "p").where("a < b").select("a", "b").distinct()
-    texts = (rows, k, need, least)
-    links = materialize(_linked(met, classes, *texts))
-    member = None
-    if not large.isEmpty():
-        star = lists.join(large, "p").where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-        links = materialize(links.union(_linked(star, classes, *texts)).distinct())
+    lists = cut(classes.select("rep", F.posexplode(F.slice("sig", 1, posted)).alias("c", "v")).select(F.xxhash64("c", "v").alias("p"), "c", "rep", F.col("rep").alias("comp")))
+    links = None
+    for depth in range(1, least + 1):
+        sizes = lists.groupBy("p").agg(F.count("*").alias("n"), F.min(F.struct("rep", "comp")).alias("lead")).where("n > 1")
+        large = cut(sizes.where(F.col("n") > hot).select("p", F.col("lead.rep").alias("leader"), F.col("lead.comp").alias("its")))
+        small = lists.join(sizes.where(F.col("n") <= hot).select("p"), "p", "left_semi").select("p", "rep", "comp")
+        met = small.toDF("p", "a", "ca").hint("merge").join(small.toDF("p", "b", "cb"), "p").where("a < b AND ca <> cb").select("a", "b")
+        star = lists.join(large, "p").where("comp <> its").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b"))
+        more = linked(met.union(star).distinct())
+        links = more if links is None else links.union(more)
+        if large.isEmpty():
+            break
         comp = connected_components(links)
-        member = lists.join(large.select("p"), "p", "left_semi").join(comp, F.col("rep") == F.col("node"), "left")
-        member = materialize(member.select("p", "rep", F.coalesce("component", "rep").alias("comp")))
-        x, y = member.toDF("p", "a", "ca"), member.toDF("p", "b", "cb")
-        rest = x.hint("merge").join(y, "p").where("a < b AND ca <> cb").select("a", "b").distinct()
-        links = materialize(links.union(_linked(rest, classes, *texts)).distinct())
+        temp.append(comp)
+        member = lists.drop("comp").join(large.select("p"), "p", "left_semi").join(comp, F.col("rep") == F.col("node"), "left")
+        member = cut(member.select("p", "c", "rep", F.coalesce("component", "rep").alias("comp")))
+        # lists of one group are done; in the others the largest group is met with the rest, never with itself
+        parts = member.groupBy("p", "comp").agg(F.count("*").alias("n")).groupBy("p").agg(F.count("*").alias("parts"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
+        member = member.join(parts.where("parts > 1"), "p")
+        if depth == least:  # whoever is left in a list agrees in as many coordinates as asked
+            other, every = member.where("comp <> main").select("p", F.col("rep").alias("a"), F.col("comp").alias("ca")), member.select("p", F.col("rep").alias("b"), F.col("comp").alias("cb"), "main")
+            rest = other.hint("merge").join(every, "p").where("ca <> cb AND (cb = main OR a < b)")
+            links = links.union(linked(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+            break
+        again = member.join(classes.select("rep", "sig"), "rep").select("p", "c", "rep", "comp", F.posexplode(F.slice("sig", 1, posted + depth)).alias("c2", "v"))
+        lists = cut(again.where("c2 > c").select(F.xxhash64("p", "c2", "v").alias("p"), F.col("c2").alias("c"), "rep", "comp"))
     comp = connected_components(links)
-    ends = links
-    if member is not None and count_links:  # pairs of two members are counted by blocks, whichever list they met in
-        many = materialize(member.select("rep").distinct())
-        ends = links.join(many.select(F.col("rep").alias("a"), F.lit(True).alias("ha")), "a", "left")
-        ends = ends.join(many.select(F.col("rep").alias("b"), F.lit(True).alias("hb")), "b", "left").where("ha IS NULL OR hb IS NULL")
-    count = ends.select(F.explode(F.array("a", "b")).alias("r"), F.lit(1).cast("bigint").alias("n"))
-    if ends is not links:
-        inside = many.join(comp, F.col("rep") == F.col("node")).select("rep", F.col("component").alias("g"))
-        count = count.union(_counted(inside, classes, *texts))
-    count = count.groupBy("r").agg(F.sum("n").alias("n_links"))
-    label = classes.select("digest", "rep").join(comp, F.col("rep") == F.col("node"), "left").join(count, F.col("rep") == F.col("r"), "left")
-    label = label.select("digest", F.coalesce("component", "rep").alias("g"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    found = signed.select("id", "digest").distinct().join(label, "digest").withColumnRenamed("g", "part")
-    found = found.join(found.groupBy("part").agg(F.min("id").alias("g")), "part")
+    temp.append(comp)
+    label = classes.join(comp, F.col("rep") == F.col("node"), "left").select("digest", F.col("id").alias("first"), F.coalesce("component", "rep").alias("part"))
+    found = cut(signed.select("id", "digest").distinct().join(label, "digest").select("id", "first", "part"))
+    found = cut(found.join(found.groupBy("part").agg(F.min("id").alias("g")), "part"))
     # a key with several sequences joins their groups
-    per = found.groupBy("id").agg(F.min("g").alias("g"), F.max("g").alias("g2"), F.sum("n_links").alias("n_links"))
-    per = materialize(per)
+    per = cut(found.groupBy("id").agg(F.min("first").alias("first"), F.min("g").alias("g"), F.max("g").alias("g2")))
     if not per.where("g <> g2").isEmpty():
         more = connected_components(found.select("id", F.col("g").alias("c")), "id", "c")
-        per = per.join(more, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "g").alias("g"), "n_links")
-    everyone = rows.select("id").distinct()
-    out = everyone.join(per.select("id", "g", "n_links"), "id", "left")
-    release(lists, large)
-    out = out.select(F.col("id").alias(key), F.coalesce("g", "id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    return out if count_links else out.drop("n_links")
+        temp.append(more)
+        per = per.join(more, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("component", "g").alias("g"))
+    out = materialize(rows.select("id").distinct().join(per.select("id", "first", "g"), "id", "left"))
+    release(*temp)
+    return out.select(F.col("id").alias(key), F.coalesce("first", "id").alias("class_id"), F.coalesce("g", "id").alias("group_id"))
 
 
-def _linked(met: DataFrame, classes: DataFrame, rows: DataFrame, k: int, need: Fraction, least: int) -> DataFrame:
+def _linked(met: DataFrame, classes: DataFrame, rows: DataFrame, k: int, need: Fraction, least: int, cut) -> DataFrame:
     """The met pairs (a < b) that agree in ``least`` coordinates and are as alike as needed."""
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     sig_a, sig_b = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), classes.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    near = met.join(sig_a, "a").join(sig_b, "b").where(agree >= least).select("a", "b")
-    near = materialize(near)
-    text = materialize(_texts(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), classes, rows))
-    both = near.join(text.select(F.col("rep").alias("a"), F.col("seq").alias("ta")), "a").join(text.select(F.col("rep").alias("b"), F.col("seq").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(partial(_exact, k=k, num=need.numerator, den=need.denominator), "a bigint, b bigint")
+    near = cut(met.join(sig_a, "a").join(sig_b, "b").where(agree >= least).select("a", "b"))
+    text = cut(_texts(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), classes, rows))
+    both = near.join(text.select(F.col("rep").alias("b"), F.col("seq").alias("tb")), "b")
+    both = both.join(text.select(F.col("rep").alias("a"), F.col("seq").alias("ta")), "a")  # last, so that a's pairs lie together
+    return cut(both.select("a", "b", "ta", "tb").mapInArrow(partial(_exact, k=k, num=need.numerator, den=need.denominator), "a bigint, b bigint"))
 
 
 def _texts(reps: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -177,64 +180,19 @@ def _texts(reps: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
 
 def _exact(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ok = []
-        for x, y in zip(_sets(b.column(2), k), _sets(b.column(3), k), strict=True):
+        if not b.num_rows:
+            continue
+        a = b.column(0).to_numpy()
+        first = np.concatenate([[True], a[1:] != a[:-1]])
+        firsts, ok = _sets(b.column(2).filter(pa.array(first)), k), []
+        for new, y in zip(first, _sets(b.column(3), k), strict=True):
+            if new:  # the strings of a text are cut once for all its pairs in a row
+                x = next(firsts)
             both = len(np.intersect1d(x, y, assume_unique=True))
             ok.append(both * den >= num * (len(x) + len(y) - both) and both > 0)
         yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
-def _counted(members: DataFrame, classes: DataFrame, rows: DataFrame, k: int, need: Fraction, least: int) -> DataFrame:
-    """``r, n``: the links of each member (rep, g) to members of its group, in parts. Every two salted blocks of a group meet."""
-    full = materialize(members.join(classes.select("rep", "sig"), "rep").join(_texts(members.select("rep"), classes, rows), "rep"))
-    blocks = F.greatest(F.ceil(F.count("*") / 256), F.ceil(F.sum(F.length("seq")) / (1 << 23)))
-    salted = full.join(full.groupBy("g").agg(blocks.alias("nb")), "g").withColumn("s", F.pmod(F.xxhash64("rep"), F.col("nb")))
-    unit = salted.withColumn("o", F.explode(F.expr("sequence(0L, nb - 1)")))
-    unit = unit.select("g", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "s", "rep", "sig", "seq")
-
-    def count(t: pa.Table) -> pa.Table:
-        return _count_block(t, k, need.numerator, need.denominator, least)
-
-    return unit.groupBy("g", "i", "j").applyInArrow(count, "r bigint, n bigint")
-
-
-def _count_block(t: pa.Table, k: int, num: int, den: int, least: int) -> pa.Table:
-    rep, s = t["rep"].to_numpy(), t["s"].to_numpy()
-    sig = t["sig"].combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
-    i, j = t["i"][0].as_py(), t["j"][0].as_py()
-    left, right = np.flatnonzero(s == i), np.flatnonzero(s == j)
-    agree = np.zeros((len(left), len(right)), np.int32)
-    for c in range(sig.shape[1]):
-        agree += sig[left, c][:, None] == sig[right, c]
-    link = agree >= least
-    if i == j:
-        link = np.triu(link, 1)
-    if link.any():
-        sets = list(_sets(t["seq"].combine_chunks(), k))
-        size = np.array([len(x) for x in sets])
-        both = _shared([sets[x] for x in left], [sets[x] for x in right])
-        link &= (both * den >= num * (size[left][:, None] + size[right] - both)) & (both > 0)
-    n = np.concatenate([link.sum(axis=1), link.sum(axis=0)])
-    return pa.table({"r": pa.array(np.concatenate([rep[left], rep[right]]), pa.int64()), "n": pa.array(n, pa.int64())}).filter(pa.array(n > 0))
-
-
-def _shared(xs: list[np.ndarray], ys: list[np.ndarray], wide: int = 4096) -> np.ndarray:
-    """How many strings each of ``xs`` has in common with each of ``ys``: products of 0/1 tiles, summed."""
-    out = np.zeros((len(xs), len(ys)), np.int64)
-    _, name, held = np.unique(np.concatenate([*xs, *ys]), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(xs) + len(ys)), [len(x) for x in [*xs, *ys]])
-    keep = held[name] > 1  # a string of one set is in no intersection
-    name, row = (np.cumsum(held > 1) - 1)[name[keep]], row[keep]
-    by = np.argsort(name, kind="stable")
-    name, row = name[by], row[by]
-    for at in range(0, int(name[-1]) + 1 if len(name) else 0, wide):
-        a, b = np.searchsorted(name, [at, at + wide])
-        tile = np.zeros((len(xs) + len(ys), wide), np.float32)
-        tile[row[a:b], name[a:b] - at] = 1
-        out += (tile[: len(xs)] @ tile[len(xs) :].T).astype(np.int64)
-    return out
-
-
 def group_pairs(groups: DataFrame, key: str) -> DataFrame:
     """(record_a, record_b): all pairs of keys of the same group, smaller key first. Its size is the result's own."""
     a = groups.select(F.col("group_id").alias("g"), F.col(key).alias("record_a"))

@@ -35,17 +35,26 @@ _SPANS = _W + """,
      k AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY start) AS run FROM h),
      s AS (SELECT id AS record_idx, min(start)::BIGINT AS start, (max(start) + 80)::BIGINT AS stop, kept FROM k GROUP BY id, run, kept)
 """
-ORACLES = {
-    "p1_found": """
+_PAIRS = """
 WITH RECURSIVE r AS (SELECT DISTINCT record_idx::BIGINT id, upper(seq) q FROM records WHERE seq IS NOT NULL),
      w AS (SELECT id, q[i:i + 14] AS t FROM (SELECT id, q, unnest(range(1, length(q) - 13)) i FROM r)),
-     k AS (SELECT DISTINCT id, least(t, reverse(translate(t, 'ACGT', 'TGCA'))) t FROM w WHERE regexp_full_match(t, '[ACGT]+')),
+     k AS MATERIALIZED (SELECT DISTINCT id, least(t, reverse(translate(t, 'ACGT', 'TGCA'))) t FROM w WHERE regexp_full_match(t, '[ACGT]+')),
      n AS (SELECT id, count(*) n FROM k GROUP BY id),
      p AS (SELECT a.id a, b.id b, count(*) c FROM k a JOIN k b USING (t) WHERE a.id < b.id GROUP BY ALL),
      l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 2 * c >= x.n + y.n - c),
      s AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
      c AS (SELECT a AS x, a AS y FROM s UNION SELECT c.x, s.b FROM c JOIN s ON s.a = c.y)
-SELECT DISTINCT x AS record_a, y AS record_b FROM c WHERE x < y""",
+"""
+ORACLES = {
+    "p1_found": _PAIRS + "SELECT DISTINCT x AS record_a, y AS record_b FROM c WHERE x < y",
+    "p1_groups": _PAIRS + """,
+     z AS (SELECT id, md5(string_agg(t, ',' ORDER BY t)) AS m FROM k GROUP BY id),
+     f AS (SELECT id, min(id) OVER (PARTITION BY m) AS class_id FROM z),
+     g AS (SELECT x AS id, min(y) AS y FROM c GROUP BY x)
+SELECT i.record_idx, coalesce(f.class_id, i.record_idx) AS class_id, least(i.record_idx, g.y) AS group_id, i.assembly_idx, a.path
+FROM (SELECT DISTINCT record_idx::BIGINT AS record_idx, assembly_idx FROM records WHERE record_idx IS NOT NULL) i
+     LEFT JOIN f ON f.id = i.record_idx LEFT JOIN g ON g.id = i.record_idx
+     LEFT JOIN (SELECT DISTINCT assembly_idx, path FROM assemblies) a USING (assembly_idx)""",
     "p2_found": _V + "SELECT run_no::BIGINT AS run_no, sig_no FROM p JOIN runs USING (run_no) WHERE place <= n_keep",
     "p2_ranking": _V + "SELECT run_no, sig_no, fused, place FROM p",
     "p3_found": _W + """,

@@ -13,19 +13,19 @@ MIN_SPAN = 80
 SCORES = {"conservation": True, "divergence": True, "f_neg_hits": False, "rep_ratio": True}
 
 
-def _groups(spark: SparkSession, d: str, count_links: bool) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, d, "records"), "record_idx", "seq", count_links=count_links)
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, d, "records"), "record_idx", "seq")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return near_dup.group_pairs(_groups(spark, d, False), "record_idx")
+    return near_dup.group_pairs(_groups(spark, d), "record_idx")
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Every record with its group, its links to other texts and the path of its assembly."""
+    """Every record with its class (equal strings), its group and the path of its assembly."""
     of = table(spark, d, "records").select(F.col("record_idx").cast("bigint").alias("record_idx"), "assembly_idx").distinct()
     path = table(spark, d, "assemblies").select("assembly_idx", "path").distinct()
-    return _groups(spark, d, True).join(of, "record_idx").join(path, "assembly_idx", "left").select("record_idx", "group_id", "n_links", "assembly_idx", "path")
+    return _groups(spark, d).join(of, "record_idx").join(path, "assembly_idx", "left").select("record_idx", "class_id", "group_id", "assembly_idx", "path")
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
 
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|(.))", re.S)
 
@@ -46,22 +45,51 @@ def plain_text(text: str | None, layout: str | None) -> str:
         return text
     j = _parsed(text)
     if j is None:
-        return _ESCAPE.sub(lambda m: chr(int(m[1], 16)) if m[1] else ("\n" if m[2] in "nrt" else m[2]), text)
-    return "\n".join(_joined(h[f], f) for c in j["cells"] if isinstance(c, dict) for h, f in _cell_strings(c))
+        return _ESCAPE.sub(_resolved, text)
+    return "\n".join(_joined(h[f], f) for h, f in _strings(j))
 
 
-def rewrite(text: str, layout: str | None, edit: Callable[[str, str], str]) -> str:
-    """``text`` with ``edit(text, view)`` applied to it, or to each string of a ``json`` notebook's cells.
+def _strings(notebook: dict) -> list[tuple[dict, str]]:
+    return [x for c in notebook["cells"] if isinstance(c, dict) for x in _cell_strings(c)]
 
-    ``view`` is the text to look at: the text itself, or where JSON does not parse the text with its escapes blanked.
+
+def _resolved(m: re.Match) -> str:
+    return chr(int(m[1], 16)) if m[1] else ("\n" if m[2] in "nrt" else m[2])
+
+
+def without(text: str, layout: str | None, cuts: list[tuple[int, int]]) -> str:
+    """``text`` without the stretches ``cuts`` (from, to; in order, apart) of its :func:`plain_text`.
+
+    A stretch may run over several strings of a notebook; each loses its part, and the notebook is written again. In JSON
+    that does not parse an escape goes with the letter it stands for.
     """
-    j = _parsed(text) if layout == "json" else None
+    if layout != "json":
+        return _without(text, 0, cuts)
+    j = _parsed(text)
     if j is None:
-        return edit(text, _ESCAPE.sub(lambda m: " " * len(m[0]), text) if layout == "json" else text)
-    for c in j["cells"]:
-        if isinstance(c, dict):
-            for h, f in _cell_strings(c):
-                old = _joined(h[f], f)
-                new = edit(old, old)
-                h[f] = new.splitlines(keepends=f != "traceback") if isinstance(h[f], list) else new
+        at: list[int] = []  # where each letter of the plain text begins
+        end = 0
+        for m in _ESCAPE.finditer(text):
+            at += range(end, m.start() + 1)
+            end = m.end()
+        at += range(end, len(text) + 1)
+        return _without(text, 0, [(at[a], at[b]) for a, b in cuts])
+    start = 0
+    for h, f in _strings(j):
+        old = _joined(h[f], f)
+        new = _without(old, start, cuts)
+        start += len(old) + 1
+        if new != old:
+            h[f] = new.splitlines(keepends=f != "traceback") if isinstance(h[f], list) else new
     return json.dumps(j, indent=1)
+
+
+def _without(s: str, start: int, cuts: list[tuple[int, int]]) -> str:
+    """A string that begins at ``start`` of the plain text."""
+    out, end = [], 0
+    for a, b in cuts:
+        a, b = max(a - start, 0), min(b - start, len(s))
+        if a < b:
+            out.append(s[end:a])
+            end = b
+    return "".join(out) + s[end:]

@@ -85,7 +85,7 @@ def _leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+    return _leaks(spark, d).select("doc_id", "item_id")
 
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -96,6 +96,13 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return contamination.remove_leaks(table(spark, d, "documents"), "doc_id", "text", "layout", table(spark, d, "benchmark"), "item_id", "text")
 
 
+def p8_residue(spark: SparkSession, d: str) -> DataFrame:
+    """What the cleaned documents still leak: nothing."""
+    layout = table(spark, d, "documents").select("doc_id", "layout").distinct()
+    left = p8_cleaned(spark, d).join(layout, "doc_id")
+    return contamination.leaks(left, "doc_id", "text", "layout", table(spark, d, "benchmark"), "item_id", "text")
+
+
 def _toxic(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     model = toxicity.fit(docs, "doc_id", "text", "layout", table(spark, d, "labels"), "toxic")
@@ -118,6 +125,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_groups, p2_found, p2_ranking, p3_found, p3_spans, p3_coverage, p6_found, p6_overlaps, p7_packing, p7_fill, p8_found,
-        p8_leaks, p8_cleaned, p9_found, p9_scores, p9_rates,
+        p8_leaks, p8_cleaned, p8_residue, p9_found, p9_scores, p9_rates,
     )
 }

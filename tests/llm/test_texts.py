@@ -3,6 +3,7 @@ import os
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from strandline.llm import contamination as C
@@ -133,11 +134,60 @@ def test_items_in_blocks_give_the_same(spark, monkeypatch):
     r = random.Random(1)
     vocab = [f"w{i}" for i in range(30)]
     texts = [[r.choice(vocab) for _ in range(20)] for _ in range(12)]
-    docs = spark.createDataFrame([(i, " ".join(sum(r.sample(texts, 2), []))) for i in range(20)], "key bigint, t string")
-    items = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "item bigint, t string")
+    docs = spark.createDataFrame([(i, " ".join(sum(r.sample(texts, 2), []))) for i in range(20)] + [(50, "w1 w2"), (51, "none of it")], "key bigint, t string")
+    # several texts under one item, in whatever blocks they fall
+    items = spark.createDataFrame([(i // 2, " ".join(t)) for i, t in enumerate(texts)], "item bigint, t string")
     whole = rows(C.leaks(docs, "key", "t", None, items, "item", "t"))
-    monkeypatch.setattr(C, "BLOCK_WORDS", 50)
-    assert rows(C.leaks(docs, "key", "t", None, items, "item", "t")) == whole and len(whole) >= 40
+    clean = rows(C.remove_leaks(docs, "key", "t", None, items, "item", "t"))
+    assert len(whole) >= 35 and len({(x[0], x[1]) for x in whole}) == len(whole) and len(clean) == 20
+    for size in (20, 50):
+        monkeypatch.setattr(C, "BLOCK_WORDS", size)
+        assert rows(C.leaks(docs, "key", "t", None, items, "item", "t")) == whole
+        assert rows(C.remove_leaks(docs, "key", "t", None, items, "item", "t")) == clean
+
+
+def test_the_filter_misses_nothing(monkeypatch):
+    r = random.Random(2)
+    texts = [[f"v{r.randrange(500)}" for _ in range(40)] for _ in range(50)]
+    blocks = lambda: iter([[(i, t) for i, t in enumerate(texts)]])
+    for bits in (1 << 30, 1 << 12):
+        monkeypatch.setattr(C, "FILTER_BITS", bits)
+        held = C._filter(blocks, 6)
+        docs = [" ".join(t[n : n + 6]) for t in texts for n in (0, 9, 34)] + [" ".join(f"x{r.randrange(500)}" for _ in range(30)) for _ in range(50)]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array(docs), pa.nulls(len(docs), pa.string())], ["id", "t", "l"])
+        kept = [x for b in C._may_hold([batch], type("Sent", (), {"value": held}), 6) for x in b.column(0).to_pylist()]
+        assert kept[:150] == list(range(150)) and (len(kept) < 160 or bits < 1 << 20)
+
+
+def test_leaks_over_several_cells_are_removed(spark):
+    words = ITEM.replace("?", "").split()
+    half = len(words) // 2
+    broken = "{broken é " + "\\n".join(words) + " end"
+    texts = {
+        1: (_notebook(["keep a\n", " ".join(words[:half]) + "\n"], " ".join(words[half:]) + " keep b"), "json"),
+        2: (_notebook([" ".join(words[:half])], "keep c"), "json"),
+        3: (broken, "json"),
+        # what is left when the inner copy goes is a run again
+        4: (" ".join(words[:6]) + " " + " ".join(words) + " " + " ".join(words[6:12]) + " tail", "plain"),
+        5: ("İstanbul İ " + " ".join(words).upper() + " İ end", "plain"),
+    }
+    df = spark.createDataFrame([(k, t, l, 1) for k, (t, l) in texts.items()], "key bigint, t string, l string, id int")
+    items = spark.createDataFrame([(70, ITEM)], "item bigint, t string")
+    before = {x["doc_id"] for x in C.leaks(df, "key", "t", "l", items, "item", "t").collect()}
+    assert before >= {1, 3, 4, 5}
+    clean = C.remove_leaks(df, "key", "t", "l", items, "item", "t")
+    got = {x["doc_id"]: x["text"] for x in clean.collect()}
+    left = clean.join(df.select(df.key.alias("doc_id"), "l"), "doc_id")
+    assert rows(C.leaks(left, "doc_id", "text", "l", items, "item", "t")) == []
+    plain = notebooks.plain_text(got[1], "json")
+    assert "keep a" in plain and "keep b" in plain and not set(words) - {"a", "b"} & set(C.words(plain)) - {"keep", "a", "b"}
+    assert got[3].startswith("{broken é ") and got[3].endswith(" end") and words[3] not in got[3]
+    assert got[4].split() == ["tail"] and got[5].split() == ["İstanbul", "İ", "İ", "end"]
+
+
+def test_places_are_those_of_the_words():
+    for t in ("One, two_three", "İİ a İb", "ŞIK x", "ß ẞ", ""):
+        assert [w for i, j in C.places(t) for w in C.words(t[i:j])] == C.words(t) and len(C.places(t)) == len(C.words(t))
 
 
 def test_notebook_text():

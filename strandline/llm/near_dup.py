@@ -119,21 +119,24 @@ def near_duplicates(df: DataFrame, key: str, seq: str, threshold: float = 0.5, k
         return _linked(met, classes, rows, k, need, least, cut)
 
     posted = coords - least + 1
-    lists = cut(classes.select("rep", F.posexplode(F.slice("sig", 1, posted)).alias("c", "v")).select(F.xxhash64("c", "v").alias("p"), "c", "rep", F.col("rep").alias("comp")))
+    lists = cut(classes.select("rep", F.posexplode(F.slice("sig", 1, posted)).alias("c", "v")).select(F.xxhash64("c", "v").alias("p"), "c", "rep"))
     links = None
     for depth in range(1, least + 1):
-        sizes = lists.groupBy("p").agg(F.count("*").alias("n"), F.min(F.struct("rep", "comp")).alias("lead")).where("n > 1")
-        large = cut(sizes.where(F.col("n") > hot).select("p", F.col("lead.rep").alias("leader"), F.col("lead.comp").alias("its")))
-        small = lists.join(sizes.where(F.col("n") <= hot).select("p"), "p", "left_semi").select("p", "rep", "comp")
+        part = F.col("comp" if depth > 1 else "rep").alias("comp")
+        sizes = lists.groupBy("p").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1")
+        large = cut(sizes.where(F.col("n") > hot).select("p", "leader"))
+        small = lists.join(sizes.where(F.col("n") <= hot).select("p"), "p", "left_semi").select("p", "rep", part)
         met = small.toDF("p", "a", "ca").hint("merge").join(small.toDF("p", "b", "cb"), "p").where("a < b AND ca <> cb").select("a", "b")
-        star = lists.join(large, "p").where("comp <> its").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b"))
+        long = lists.join(large, "p").select("p", "leader", "rep", part)
+        its = long.where("rep = leader").select("p", F.col("comp").alias("its"))
+        star = long.join(its, "p").where("comp <> its").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b"))
         more = linked(met.union(star).distinct())
         links = more if links is None else links.union(more)
         if large.isEmpty():
             break
         comp = connected_components(links)
         temp.append(comp)
-        member = lists.drop("comp").join(large.select("p"), "p", "left_semi").join(comp, F.col("rep") == F.col("node"), "left")
+        member = lists.select("p", "c", "rep").join(large.select("p"), "p", "left_semi").join(comp, F.col("rep") == F.col("node"), "left")
         member = cut(member.select("p", "c", "rep", F.coalesce("component", "rep").alias("comp")))
         # lists of one group are done; in the others the largest group is met with the rest, never with itself
         parts = member.groupBy("p", "comp").agg(F.count("*").alias("n")).groupBy("p").agg(F.count("*").alias("parts"), F.max_by("comp", F.struct("n", "comp")).alias("main"))

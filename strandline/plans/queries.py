@@ -45,7 +45,8 @@ def _nine(c: str):
 
 
 def fasta_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    r = _records(spark, d).where("record_id IS NOT NULL")
+    """Records written as FASTA and read again; one without id has an empty one."""
+    r = _records(spark, d)
     return fasta.parse_texts(fasta.fasta_text(r)).groupBy("assembly_idx", "record_id", "seq").agg(F.count("*").alias("n"))
 
 
@@ -189,13 +190,13 @@ def fetched_sequences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def signature_headers(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "signatures").where("record_id IS NOT NULL").select("sig_no", "assembly_idx", "record_id", "start", "stop").distinct()
-    return s.select("sig_no", S.location_header(F.col("assembly_idx"), F.col("record_id"), F.col("start"), F.col("stop")).alias("header"))
+    s = table(spark, d, "signatures").select("sig_no", "assembly_idx", "record_id", "start", "stop").distinct()
+    return s.select("sig_no", S.location_header(F.col("assembly_idx"), F.coalesce("record_id", F.lit("")), F.col("start"), F.col("stop")).alias("header"))
 
 
 def signature_csv(spark: SparkSession, d: str) -> DataFrame:
     """The table of a run's signatures with their reverse complement."""
-    s = table(spark, d, "signatures").where("record_id IS NOT NULL").drop("scored_at", "fasta_header", "length").distinct()
+    s = table(spark, d, "signatures").drop("scored_at", "fasta_header", "length").distinct()
     t = tables.signature_table(s.withColumn("ord", F.col("sig_no")))
     return t.select("ord", "fasta_header", "length", *[_nine(c) for c in [*metrics.METRICS, "rep_ratio"]], "n_nodes", S.revcomp(F.col("seq")).alias("rc"))
 
@@ -250,6 +251,7 @@ def shared_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def repeated_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of several records; records without id share none."""
     r = _records(spark, d).where("record_id IS NOT NULL")
     return r.groupBy("record_id").agg(F.count("*").alias("n"), F.countDistinct("assembly_idx").alias("n_assemblies")).where("n > 1")
 
@@ -262,8 +264,8 @@ def even_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def weighted_modes(spark: SparkSession, d: str) -> DataFrame:
-    """The record id of most letters in each assembly, the smallest of equal ones."""
-    r = _records(spark, d).where("record_id IS NOT NULL AND seq IS NOT NULL")
+    """The record id of most letters in each assembly, the smallest of equal ones; a record without id has an empty one."""
+    r = _records(spark, d).where("seq IS NOT NULL").withColumn("record_id", F.coalesce("record_id", F.lit("")))
     w = r.groupBy("assembly_idx", "record_id").agg(F.sum(F.length("seq")).alias("letters"))
     return w.groupBy("assembly_idx").agg(F.min_by(F.struct("record_id", "letters"), F.struct(-F.col("letters"), F.col("record_id"))).alias("m")).select("assembly_idx", "m.*")
 
@@ -281,8 +283,8 @@ def alignments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_names(spark: SparkSession, d: str) -> DataFrame:
-    r = _records(spark, d).where("record_id IS NOT NULL")
-    t = tables.search_database(r, _assemblies(spark, d).where("is_target IS NOT NULL"))
+    """Records as the search database names them; an assembly of unknown class is in none."""
+    t = tables.search_database(_records(spark, d), _assemblies(spark, d).where("is_target IS NOT NULL"))
     return t.groupBy("sseqid").agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("letters"))
 
 
@@ -351,10 +353,10 @@ _H = """WITH h AS (SELECT l_partkey AS qseqid, l_suppkey::INT AS assembly_idx, l
               l_extendedprice AS bitscore, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rn,
               count(*) OVER (PARTITION BY l_partkey, l_suppkey) AS n_hits, avg(l_quantity) OVER (PARTITION BY l_partkey, l_suppkey) AS avg_nident FROM lineitem),
      b AS (SELECT * FROM h WHERE rn = 1)"""
-_METRICS = ", ".join(f"round({c}, 9) AS {c}" for c in [*metrics.METRICS, "rep_ratio"])
+_METRICS = ", ".join(f"CASE WHEN NOT isnan({c}) THEN round({c}, 9) END AS {c}" for c in [*metrics.METRICS, "rep_ratio"])
 
 ORACLES = {
-    "fasta_roundtrip": f"WITH {_R} SELECT assembly_idx, record_id, coalesce(seq, '') AS seq, count(*) AS n FROM r WHERE record_id IS NOT NULL GROUP BY ALL",
+    "fasta_roundtrip": f"WITH {_R} SELECT assembly_idx, coalesce(record_id, '') AS record_id, coalesce(seq, '') AS seq, count(*) AS n FROM r GROUP BY ALL",
     "record_offsets": f"""WITH {_A}, c AS (SELECT assembly_idx, count(DISTINCT record_no) AS n FROM records GROUP BY ALL)
 SELECT assembly_idx, (sum(coalesce(n, 0)) OVER w - coalesce(n, 0))::BIGINT AS first_record, (sum(coalesce(n, 0)) OVER w)::BIGINT AS stop_record
 FROM (SELECT DISTINCT assembly_idx FROM a) LEFT JOIN c USING (assembly_idx) WINDOW w AS (ORDER BY assembly_idx)""",
@@ -397,9 +399,9 @@ SELECT subgraph_id, x.assembly_idx AS assembly_idx, x.record_no AS record_no, x.
        round(n_rep / nt::DOUBLE, 9) AS rep_ratio FROM w, t WHERE x.len >= 22 AND len(rep) > 1 AND len(list_distinct(rep)) = len(rep)""",
     "fetched_sequences": f"""WITH {_R} SELECT sig_no, r.record_id, upper(substr(r.seq, start + 1, stop - start)) AS seq, upper(substr(r.seq, start + 1, stop - start)) = s.seq AS agrees
 FROM (SELECT DISTINCT sig_no, record_idx, start, stop, seq FROM signatures) s JOIN r USING (record_idx)""",
-    "signature_headers": """SELECT DISTINCT sig_no, assembly_idx || '-' || record_id || '-' || start || ':' || stop AS header FROM signatures WHERE record_id IS NOT NULL""",
-    "signature_csv": f"""SELECT sig_no AS ord, assembly_idx || '-' || record_id || '-' || start || ':' || stop AS fasta_header, length(seq)::INT AS length, {_METRICS}, n_nodes,
-       reverse(translate(seq, 'ACGTacgt', 'TGCAtgca')) AS rc FROM (SELECT DISTINCT * EXCLUDE (scored_at, fasta_header, length) FROM signatures) WHERE record_id IS NOT NULL""",
+    "signature_headers": """SELECT DISTINCT sig_no, assembly_idx || '-' || coalesce(record_id, '') || '-' || start || ':' || stop AS header FROM signatures""",
+    "signature_csv": f"""SELECT sig_no AS ord, assembly_idx || '-' || coalesce(record_id, '') || '-' || start || ':' || stop AS fasta_header, length(seq)::INT AS length, {_METRICS}, n_nodes,
+       reverse(translate(seq, 'ACGTacgt', 'TGCAtgca')) AS rc FROM (SELECT DISTINCT * EXCLUDE (scored_at, fasta_header, length) FROM signatures)""",
     "best_hits": f"{_H} SELECT qseqid, assembly_idx, is_target, nident, mismatch, bitscore, n_hits, round(avg_nident, 9) AS avg_nident FROM b",
     "marker_metrics": f"""{_H}, n AS (SELECT count(*) FILTER (s_suppkey % 2 = 0) AS nt, count(*) FILTER (s_suppkey % 2 <> 0) AS nn FROM supplier),
      m AS (SELECT DISTINCT p_partkey AS qseqid, p_size + 10 AS len FROM part)
@@ -421,7 +423,7 @@ SELECT round(1 - ((SELECT coalesce(sum(f), 0) FROM f WHERE x IN (FROM tt) AND y
     "shared_cells": "SELECT DISTINCT run_no, round(n_keep / n_signatures::DOUBLE, 9) AS fraction FROM runs",
     "repeated_ids": f"WITH {_R} SELECT record_id, count(*) AS n, count(DISTINCT assembly_idx) AS n_assemblies FROM r WHERE record_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
     "even_chunks": f"WITH {_A} SELECT assembly_idx, ntile(16) OVER (ORDER BY assembly_idx)::INT AS chunk FROM a",
-    "weighted_modes": f"""WITH {_R}, w AS (SELECT assembly_idx, record_id, sum(length(seq))::BIGINT AS letters FROM r WHERE record_id IS NOT NULL AND seq IS NOT NULL GROUP BY ALL)
+    "weighted_modes": f"""WITH {_R}, w AS (SELECT assembly_idx, coalesce(record_id, '') AS record_id, sum(length(seq))::BIGINT AS letters FROM r WHERE seq IS NOT NULL GROUP BY ALL)
 SELECT assembly_idx, record_id, letters FROM w QUALIFY row_number() OVER (PARTITION BY assembly_idx ORDER BY letters DESC, record_id) = 1""",
     "seed_hits": f"""WITH {_R}, q AS (SELECT DISTINCT sig_no::INT AS id, upper(seq) AS s FROM signatures WHERE seq IS NOT NULL),
      b AS (SELECT id, 1 AS strand, s FROM q UNION ALL SELECT id, -1, reverse(translate(s, 'ACGT', 'TGCA')) FROM q),
@@ -429,8 +431,8 @@ SELECT assembly_idx, record_id, letters FROM w QUALIFY row_number() OVER (PARTIT
      y AS (SELECT assembly_idx, record_no, i AS at, s[i + 1:i + 31] AS k FROM (SELECT assembly_idx, record_no, upper(seq) AS s, unnest(range(0, length(seq) - 30)) AS i FROM r))
 SELECT id AS qseqid, strand, assembly_idx, record_no, floor((y.at - x.at) / {align.BAND}.0)::BIGINT AS band, count(*) AS n_seeds
 FROM x JOIN y USING (k) WHERE regexp_full_match(k, '[ACGT]+') GROUP BY ALL""",
-    "search_names": f"""WITH {_A}, {_R} SELECT assembly_idx || '@' || CASE WHEN is_target THEN 'y' ELSE 'n' END || '@' || record_id AS sseqid, count(*) AS n,
-       sum(length(seq))::BIGINT AS letters FROM r JOIN a USING (assembly_idx) WHERE record_id IS NOT NULL AND is_target IS NOT NULL GROUP BY 1""",
+    "search_names": f"""WITH {_A}, {_R} SELECT assembly_idx || '@' || CASE WHEN is_target THEN 'y' ELSE 'n' END || '@' || coalesce(record_id, '') AS sseqid, count(*) AS n,
+       sum(length(seq))::BIGINT AS letters FROM r JOIN a USING (assembly_idx) WHERE is_target IS NOT NULL GROUP BY 1""",
     "event_sessions": """WITH g AS (SELECT user_id, epoch_us(ts) AS us, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > 3600000000)::INT, 0) AS gap FROM events),
      s AS (SELECT user_id, us, sum(gap) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING)::INT AS run FROM g)
 SELECT user_id, run, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM s GROUP BY ALL""",

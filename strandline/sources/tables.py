@@ -24,10 +24,12 @@ def read_distances(spark: SparkSession, path: str) -> DataFrame:
 
 
 def signature_table(markers: DataFrame) -> DataFrame:
-    """The columns of signatures.csv; metrics that were not evaluated are NULL."""
-    head = location_header(F.col("assembly_idx"), F.col("record_id"), F.col("start"), F.col("stop"))
-    metric = [F.col(c) if c in markers.columns else F.lit(None).cast("double").alias(c) for c in METRICS]
-    return markers.select("ord", head.alias("fasta_header"), F.length("seq").alias("length"), *metric, "rep_ratio", "n_nodes", "seq")
+    """The columns of signatures.csv. Metrics that were not evaluated are NULL, as is one that is NaN; a signature of a
+    record without id has an empty id in its header."""
+    head = location_header(F.col("assembly_idx"), F.coalesce("record_id", F.lit("")), F.col("start"), F.col("stop"))
+    given = [c for c in [*METRICS, "rep_ratio"] if c in markers.columns]
+    metric = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) if c in given else F.lit(None).cast("double").alias(c) for c in [*METRICS, "rep_ratio"]}
+    return markers.select("ord", head.alias("fasta_header"), F.length("seq").alias("length"), *[metric[c] for c in METRICS], metric["rep_ratio"], "n_nodes", "seq")
 
 
 def write_signatures(markers: DataFrame, fasta: Path, csv: Path) -> int:
@@ -70,4 +72,4 @@ def search_database(records: DataFrame, assemblies: DataFrame, negatives_only: b
     flag = assemblies.select("assembly_idx", "is_target").distinct()
     r = records.join(flag, "assembly_idx").where(~F.col("is_target") if negatives_only else F.lit(True))
     yn = F.when(F.col("is_target"), "y").otherwise("n")
-    return r.select(F.concat_ws("@", F.col("assembly_idx").cast("string"), yn, "record_id").alias("sseqid"), "seq")
+    return r.select(F.concat_ws("@", F.col("assembly_idx").cast("string"), yn, F.coalesce("record_id", F.lit(""))).alias("sseqid"), "seq")

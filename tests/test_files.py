@@ -103,3 +103,15 @@ def test_tables_of_other_tools(spark, tmp_path):
     from strandline.operators.metrics import parse_subjects
 
     assert parse_subjects(h).select("assembly_idx", "is_target", "record_id", "nident").first() == (3, True, "r", 90)
+
+
+def test_signature_files_leave_unknown_scores_empty(spark, tmp_path):
+    nan = float("nan")
+    data = [(0, 3, "r", 5, 9, "ACGT", 0.5, nan, None, 2), (1, 3, None, 0, 2, "AC", nan, 0.25, 1.0, 1)]
+    df = spark.createDataFrame(data, "ord int, assembly_idx int, record_id string, start int, stop int, seq string, conservation double, divergence double, rep_ratio double, n_nodes int")
+    assert tables.write_signatures(df, tmp_path / "s.fasta", tmp_path / "s.csv") == 2
+    head, first, second = (tmp_path / "s.csv").read_text().splitlines()
+    row = dict(zip(head.split(","), first.split(","), strict=True))
+    assert row["fasta_header"] == "3-r-5:9" and row["conservation"] == "0.5" and row["divergence"] == row["rep_ratio"] == row["f_tar_hits"] == ""
+    assert dict(zip(head.split(","), second.split(","), strict=True)) | {"fasta_header": "3--0:2", "conservation": "", "divergence": "0.25"} == dict(zip(head.split(","), second.split(","), strict=True))
+    assert (tmp_path / "s.fasta").read_text() == ">3-r-5:9\nACGT\n>3--0:2\nAC\n"

@@ -17,14 +17,16 @@ def fuse_ranks(df: DataFrame, item: str, group: str, scores: dict[str, bool], co
     (equal scores share the mean of their places), and ``fused`` is the sum of ``1 / (constant + rank)``; only the order
     of a score counts, never its range or unit. Equal sums are ordered by ``item``.
 
-    An item with a NULL or NaN in any score is not ranked and takes no rank from others. Repeated rows count once: an item
-    is its (group, item) key with its scores. A NULL group is a group of its own; an item that is NULL is not ranked. An
-    empty frame gives no rows. Other columns of ``df`` are ignored.
+    An item with a NULL or NaN in any score is not ranked and takes no rank from others. Repeated rows count once. A key
+    (group, item) with several sets of scores is ranked by one of them, the least in the order of the scores, so it has
+    one row like any other. A NULL group is a group of its own; an item that is NULL is not ranked. An empty frame gives
+    no rows. Other columns of ``df`` are ignored.
     """
     names = list(scores)
     part = df.select(F.col(group).alias("g"), F.col(item).alias("id"), *[F.col(c).cast("double").alias(f"s{i}") for i, c in enumerate(names)])
     whole = reduce(lambda a, b: a & b, [F.col(f"s{i}").isNotNull() & ~F.isnan(f"s{i}") for i in range(len(names))])
-    part = part.where(whole & F.col("id").isNotNull()).dropDuplicates()
+    held = F.struct(*[f"s{i}" for i in range(len(names))])
+    part = part.where(whole & F.col("id").isNotNull()).groupBy("g", "id").agg(F.min(held).alias("s")).select("g", "id", "s.*")
     # the sign makes low the good end of every score, so one pass ranks all scores
     cells = F.array(*[F.struct(F.lit(i).alias("m"), (-F.col(f"s{i}") if scores[c] else F.col(f"s{i}")).alias("v")) for i, c in enumerate(names)])
     # adding 0.0 makes -0.0 and 0.0 the same value

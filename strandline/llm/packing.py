@@ -1,6 +1,7 @@
 """Documents into containers of fixed token capacity (problem 7): best fit over a histogram of lengths.
 
-The plan is made from how many items have each length, never from the items, so its size depends on the capacity alone.
+The plan is made from how many items have each length, never from the items: its size follows the number of different
+lengths, which is at most the capacity, and for capacities larger than that the longest text.
 It is a list of slot runs: items of one length with ranks in a range go into consecutive containers, so many to each.
 Documents then take their slots by joining on their rank within their length.
 """
@@ -22,8 +23,6 @@ from strandline.session import spread
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pre-tokenizer pattern of the byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Largest capacity a plan is made for; the histogram that reaches the driver has at most that many rows a container.
-MAX_CAPACITY = 1 << 20
 _BROADCAST_ROWS = 200_000
 
 
@@ -106,8 +105,6 @@ def pack(lengths: DataFrame, key: str, n_tokens: str, containers: DataFrame) ->
     """
     spark = lengths.sparkSession
     kinds = sorted({(r[0], r[1]) for r in containers.select("container", F.col("capacity").cast("bigint")).where("capacity > 0").collect()}, key=str)
-    if any(c > MAX_CAPACITY for _, c in kinds):
-        raise ValueError(f"capacities above {MAX_CAPACITY} are not planned")
     docs = lengths.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.coalesce(F.col(n_tokens), F.lit(0)).cast("bigint").alias("n")).distinct()
     each = [F.struct(F.lit(str(a)).alias("container"), F.lit(b).cast("bigint").alias("capacity")) for a, b in kinds]
     kind = F.explode(F.array(*each).cast("array<struct<container:string,capacity:bigint>>")).alias("c")
@@ -121,7 +118,7 @@ def pack(lengths: DataFrame, key: str, n_tokens: str, containers: DataFrame) ->
     )
     ranked = row_numbers(items, ["container", "length"], [F.col("id"), F.col("piece")], "rank")
     counts: dict[str, dict[int, int]] = {str(a): {} for a, _ in kinds}
-    for r in ranked.where("length > 0").groupBy("container", "length").count().collect():  # at most the capacity, for each kind
+    for r in ranked.where("length > 0").groupBy("container", "length").count().toLocalIterator():
         counts[r[0]][r[1]] = r[2]
     slots = [(str(name), *s) for name, c in kinds for s in plan(counts[str(name)], c)]
     schema = "container string, length bigint, r0 bigint, r1 bigint, bin0 bigint, each bigint, bin_offset0 bigint"

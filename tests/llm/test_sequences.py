@@ -133,6 +133,14 @@ def test_fusion_by_brute_force(spark):
     assert rows(fusion.fuse_ranks(df.limit(0), "item", "grp", {"a": True})) == []
 
 
+def test_a_key_scored_twice_is_ranked_once(spark):
+    data = [(1, 10, 0.9, 5.0), (1, 10, 0.1, 9.0), (1, 11, 0.5, 1.0), (1, 12, 0.4, 2.0), (1, 12, None, 7.0)]
+    df = spark.createDataFrame(data, "grp int, item bigint, a double, b double")
+    got = rows(fusion.fuse_ranks(df, "item", "grp", {"a": True, "b": True}).select("item", "place"))
+    want = rows(fusion.fuse_ranks(df.where("NOT (item = 10 AND a = 0.9)"), "item", "grp", {"a": True, "b": True}).select("item", "place"))
+    assert got == want and len(got) == 3
+
+
 def test_spans_by_brute_force(spark):
     r = random.Random(6)
     n = 24

@@ -71,6 +71,14 @@ def test_pack_places_every_token_once(spark):
 
 
 @pytest.mark.skipif(not os.path.exists(packing.VOCABULARY), reason="no vocabulary here")
+def test_any_capacity_is_planned(spark):
+    df = spark.createDataFrame([(i, n) for i, n in enumerate([5, 7, 3 << 20, 2 << 20, 9 << 20])], "doc_id bigint, n bigint")
+    kinds = spark.createDataFrame([("huge", 8 << 20)], "container string, capacity bigint")
+    got = packing.pack(df, "doc_id", "n", kinds).collect()
+    assert sum(x["n_tokens"] for x in got) == sum([5, 7, 14 << 20]) and len({x["bin"] for x in got}) == 2
+    assert sorted((x["doc_id"], x["piece"]) for x in got) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (4, 1)]
+
+
 def test_token_lengths(spark):
     df = spark.createDataFrame([(1, "a cat"), (2, None), (3, ""), (1, "a cat"), (4, "<|endoftext|>"), (5, "x " * 100_000), (None, "a")], "key bigint, t string")
     got = dict(rows(packing.token_lengths(df, "key", "t")))

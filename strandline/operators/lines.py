@@ -1,7 +1,8 @@
 """Delimited lines that may not parse (problem 5): good rows typed, bad rows with the reason.
 
-Blocks of lines go through Arrow's CSV reader and vectorized checks. A block that does not pass as a whole is bisected
-until single lines remain, and only those are read again, letter by letter, to name the reason.
+Lines are checked column by column, a block at a time and each check once. A block in which all pass goes through Arrow's
+CSV reader as a whole; one in which some fail is bisected on the outcome of the check until the failing lines stand alone,
+and what is left of it is parsed at once. Only lines that fail are read again, letter by letter, to name the reason.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import io
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pcsv
@@ -27,7 +29,7 @@ LETTERS = "ACGTURYKMSWBDHVNacgturykmswbdhvn"
 _FIELD = r'(?:[^",]*|"(?:[^"]|"")*")'
 _SHAPE = rf"\A{_FIELD}(?:,{_FIELD}){{5}}\z"
 _DIGITS, _ID, _SEQ = r"\A[0-9]{1,18}\z", r"\A[^\s]+\z", rf"\A[{LETTERS}]+\z"
-_BLOCK = 512
+_BLOCK = 4096
 
 
 def parse_lines(df: DataFrame, line_no: str = "line_no", line: str = "line") -> DataFrame:
@@ -49,12 +51,14 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         skip = pc.or_(pc.equal(pc.utf8_trim_whitespace(line), ""), pc.starts_with(line, "#"))
         keep = pc.fill_null(pc.invert(skip), False)
         no, line = pc.filter(batch.column(0), keep), pc.filter(line, keep)
-        good, bad = [], []
         for at in range(0, len(line), _BLOCK):
-            _bisect(no.slice(at, _BLOCK), line.slice(at, _BLOCK), good, bad)
-        yield from good
-        if bad:
-            yield pa.RecordBatch.from_pylist(bad, schema=_ARROW)
+            good: list[pa.RecordBatch] = []
+            failed: list[tuple[pa.Array, pa.Array]] = []
+            _block(no.slice(at, _BLOCK), line.slice(at, _BLOCK), good, failed)
+            yield from good
+            if failed:
+                rows = [diagnose(i, t) for x, y in failed for i, t in zip(x.to_pylist(), y.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
 _ARROW = pa.schema(
@@ -63,27 +67,65 @@ _ARROW = pa.schema(
 )
 
 
-def _bisect(no: pa.Array, line: pa.Array, good: list, bad: list) -> None:
-    n = len(line)
-    if n == 0:
+def _block(no: pa.Array, line: pa.Array, good: list, failed: list) -> None:
+    """Typed rows of the lines that are certainly valid; the others are left to a strict reading."""
+    fits = _mask(pc.match_substring_regex(line, _SHAPE))
+    (no, line), out = _parted(fits, no, line)
+    failed.append(out)
+    columns = _columns(line)
+    if columns is None:  # the reader takes no line or another number of lines: bisect the block itself
+        if len(line) == 1:
+            failed.append((no, line))
+        elif len(line):
+            half = len(line) // 2
+            _block(no.slice(0, half), line.slice(0, half), good, failed)
+            _block(no.slice(half), line.slice(half), good, failed)
         return
-    if n == 1:
-        bad.append(diagnose(no[0].as_py(), line[0].as_py()))
-    elif (batch := _bulk(no, line)) is not None:
-        good.append(batch)
-    else:
-        _bisect(no.slice(0, n // 2), line.slice(0, n // 2), good, bad)
-        _bisect(no.slice(n // 2), line.slice(n // 2), good, bad)
-
-
-def _all(mask: pa.Array) -> bool:
-    return bool(pc.all(mask, min_count=0).as_py())
+    checks = [(f, _DIGITS) for f in ("assembly_idx", "record_no", "length")] + [("record_id", _ID), ("seq", _SEQ)]
+    right = [pc.match_substring_regex(columns[f], p) for f, p in checks]
+    # RE2's \s is ASCII only: ids with any other letter outside ASCII are read strictly
+    right.append(pc.string_is_ascii(columns["record_id"]))
+    valid = np.logical_and.reduce([_mask(x) for x in right])
+    length = pc.cast(pc.if_else(pa.array(valid), columns["length"], "0"), pa.int64())
+    valid &= length.to_numpy() == pc.utf8_length(columns["seq"]).to_numpy()
+    (no, *cells), out = _parted(valid, no, *columns.values(), line)
+    failed.append((out[0], out[-1]))
+    if len(no):
+        cell = dict(zip(FIELDS, cells[:-1], strict=True)) | {"line_no": no, "ok": pa.array([True] * len(no)), "reason": pa.nulls(len(no), pa.string())}
+        good.append(pa.RecordBatch.from_arrays([pc.cast(cell[f.name], f.type) for f in _ARROW], schema=_ARROW))
+
+
+def _mask(x: pa.Array) -> np.ndarray:
+    return x.to_numpy(zero_copy_only=False)
+
+
+def _parted(ok: np.ndarray, *columns: pa.Array) -> tuple[list[pa.Array], list[pa.Array]]:
+    """The columns where ``ok`` holds, and where it does not: runs between failing rows, found by bisection."""
+    fails = np.concatenate([[0], np.cumsum(~ok)])
+    if not fails[-1]:
+        return list(columns), [c.slice(0, 0) for c in columns]
+    runs: list[tuple[int, int]] = []
+    alone: list[int] = []
+    todo = [(0, len(ok))]
+    while todo:
+        lo, hi = todo.pop()
+        if lo == hi:
+            continue
+        if fails[lo] == fails[hi]:
+            runs.append((lo, hi))
+        elif hi - lo == 1:
+            alone.append(lo)
+        else:
+            todo += [((lo + hi) // 2, hi), (lo, (lo + hi) // 2)]  # the left half is taken first, so rows stay in order
+    at = pa.array(alone, pa.int64())
+    kept = [pa.concat_arrays([c.slice(lo, hi - lo) for lo, hi in runs]) if runs else c.slice(0, 0) for c in columns]
+    return kept, [c.take(at) for c in columns]
 
 
-def _bulk(no: pa.Array, line: pa.Array) -> pa.RecordBatch | None:
-    """The block as typed rows, or None if any line in it is not certainly valid."""
-    if not _all(pc.match_substring_regex(line, _SHAPE)):
-        return None
+def _columns(line: pa.Array) -> dict[str, pa.Array] | None:
+    """The fields of the lines, or None where the reader does not take them one by one."""
+    if not len(line):
+        return dict.fromkeys(FIELDS, pa.array([], pa.string()))
     text = "\n".join(line.to_pylist()).encode("utf-8", "surrogatepass")
     try:
         t = pcsv.read_csv(
@@ -96,20 +138,7 @@ def _bulk(no: pa.Array, line: pa.Array) -> pa.RecordBatch | None:
         return None
     if t.num_rows != len(line):  # a line break inside a line
         return None
-    c = {f: t.column(f).combine_chunks() if t.column(f).num_chunks != 1 else t.column(f).chunk(0) for f in FIELDS}
-    checks = [(f, _DIGITS) for f in ("assembly_idx", "record_no", "length")] + [("record_id", _ID), ("seq", _SEQ)]
-    if not all(_all(pc.match_substring_regex(c[f], p)) for f, p in checks):
-        return None
-    num = {f: pc.cast(c[f], pa.int64()) for f in ("assembly_idx", "record_no", "length")}
-    if not _all(pc.equal(num["length"], pc.cast(pc.utf8_length(c["seq"]), pa.int64()))):
-        return None
-    # RE2's \s is ASCII only: ids with any other letter outside ASCII are read strictly
-    if not _all(pc.string_is_ascii(c["record_id"])):
-        return None
-    ok, none = pa.array([True] * len(line)), pa.nulls(len(line), pa.string())
-    return pa.RecordBatch.from_arrays(
-        [no, ok, none, num["assembly_idx"], num["record_no"], c["record_id"], c["note"], num["length"], c["seq"]], schema=_ARROW
-    )
+    return {f: t.column(f).chunk(0) if t.column(f).num_chunks == 1 else t.column(f).combine_chunks() for f in FIELDS}
 
 
 def diagnose(no: int, line: str) -> dict:

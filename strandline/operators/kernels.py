@@ -126,20 +126,21 @@ def window_argmin(h: np.ndarray, w: int) -> np.ndarray:
 def minimizers(code: np.ndarray, off: np.ndarray, k: int, w: int, first: int, last: int) -> tuple[np.ndarray, ...]:
     """Positions that hold the least k-letter code (scattered by :func:`mix`) of some run of w of them inside A C G T.
 
-    Returns (position, mixed code, begin of the run, end of the run). Any two sequences that share w + k - 1 letters in a
-    row hold a common position of this kind there.
+    Returns (position, first and number of the runs of w it is the least of, begin and end of its run of A C G T, the
+    scattered codes of all positions). Every w + k - 1 letters in a row have one such position, the last of equal ones,
+    which depends on these letters alone.
     """
     none = np.zeros(0, np.int64)
     if len(code) < k:
-        return none, none.astype(np.uint64), none, none
+        return none, none, none, none, none, none.astype(np.uint64)
     begin, end = runs(code, off)
     h = mix(window_codes(code, k))
     i = np.arange(len(code), dtype=np.int64)
-    whole = (i + (w + k - 1) <= end) & (i >= first) & (i < last)
-    if not whole.any():
-        return none, none.astype(np.uint64), none, none
-    p = np.unique(window_argmin(h, w)[whole])
-    return p, h[p], begin[p], end[p]
+    start = np.flatnonzero((i + (w + k - 1) <= end) & (i >= first) & (i < last))
+    if not len(start):
+        return none, none, none, none, none, h
+    p, at, n = np.unique(window_argmin(h, w)[start], return_index=True, return_counts=True)
+    return p, start[at], n, begin[p], end[p], h
 
 
 def binary_column(rows: np.ndarray) -> pa.Array:

@@ -42,10 +42,10 @@ def p2_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    records = spans.units(table(spark, d, "records"), "record_idx", "seq", MIN_SPAN)
-    drawn = spans.units(table(spark, d, "signatures"), "sig_no", "seq", MIN_SPAN, "record_idx")
-    a = spans.sharing_pairs(records, records, MIN_SPAN, True).withColumn("kind", F.lit("record"))
-    b = spans.sharing_pairs(drawn, records, MIN_SPAN, False).withColumn("kind", F.lit("signature"))
+    records = spans.Collection(table(spark, d, "records"), "record_idx", "seq", MIN_SPAN)
+    drawn = spans.Collection(table(spark, d, "signatures"), "sig_no", "seq", MIN_SPAN, "record_idx")
+    a = spans.sharing_pairs(records, records, MIN_SPAN).withColumn("kind", F.lit("record"))
+    b = spans.sharing_pairs(drawn, records, MIN_SPAN).withColumn("kind", F.lit("signature"))
     return a.union(b).select("kind", F.col("a").alias("key_a"), F.col("b").alias("key_b"))
 
 

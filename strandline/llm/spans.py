@@ -4,6 +4,9 @@ A sequence has no lines or paragraphs, so its units are content-defined: of ever
 of ``k`` letters with the least digest. Two records that share ``min_len`` letters share the unit found there. A unit
 carries the letters around it that such a span may reach, so records are matched inside the groups of equal digests and
 whole sequences are shuffled nowhere.
+
+Records of equal sequence are one class, named by its earliest key, and only that one is cut into units; copies are put
+back at the end.
 """
 
 from __future__ import annotations
@@ -17,35 +20,50 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators import kernels as K
-from strandline.session import materialize, spread
+from strandline.session import materialize, release, spread
 
-_UNITS = "h bigint, id bigint, owner bigint, pos bigint, reach int, around binary"
+_UNITS = "h bigint, id bigint, mark bigint, pos bigint, own int, reach int, back bigint, around binary"
+_BUCKET = 50_000  # units that one call of Python takes, whole digest groups
+#: Digest groups of more units are not gathered: their windows are grouped by joins.
+HOT = 20_000
 
 
 def unit_letters(min_len: int) -> int:
     return min(32, max(4, min_len * 2 // 5))
 
 
-def units(df: DataFrame, key: str, seq: str, min_len: int, owner: str | None = None) -> DataFrame:
-    """The units of every sequence: digest, key, owner, position, and the letters on both sides (2 bits each).
+class Collection:
+    """The sequences of a table as classes: ``members`` (id, owner, rep, mark; only sequences that hold a span) and ``units``.
 
-    Case is ignored; letters other than A C G T belong to no span. NULL, empty and short sequences have no unit; rows
-    with a NULL key are left out.
+    ``rep`` is the least key of a class, ``mark`` tells the classes of a key with several texts; with ``one`` such a key
+    keeps one of them. Case is ignored; letters other than A C G T belong to no span. NULL, empty and short sequences have
+    no unit; rows with a NULL key are left out; repeated rows count once.
     """
-    k = unit_letters(min_len)
-    rows = df.where(F.col(key).isNotNull()).select(
-        F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(owner or key).cast("bigint"), F.lit(-(2**63))).alias("owner"), F.coalesce(F.col(seq), F.lit("")).alias("seq")
-    )
-    return spread(rows).mapInArrow(partial(_units, k=k, w=min_len - k + 1), _UNITS)
+
+    def __init__(self, df: DataFrame, key: str, seq: str, min_len: int, owner: str | None = None, one: bool = False):
+        k = unit_letters(min_len)
+        rows = df.where(F.col(key).isNotNull()).select(
+            F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(owner or key).cast("bigint"), F.lit(-(2**63))).alias("owner"), F.upper(F.coalesce(F.col(seq), F.lit(""))).alias("seq")
+        )
+        rows = rows.where(F.col("seq").rlike(f"[ACGT]{{{min_len}}}")).withColumn("mark", F.xxhash64("seq"))
+        held = rows.select("id", "owner", "mark", F.xxhash64(F.lit(1), "seq").alias("mark2")).distinct()
+        if one:
+            held = held.join(held.groupBy("id").agg(F.min("mark").alias("m")), "id").where("mark = m").drop("m")
+        rep = held.groupBy("mark", "mark2").agg(F.min("id").alias("rep"), (F.min("id") != F.max("id")).alias("copied"))
+        self.members = materialize(held.join(rep, ["mark", "mark2"]).select("id", "owner", "rep", "mark", "copied"))
+        # sequences that are cut: the first of each class
+        first = self.members.where("id = rep").select("id", "mark", "copied").distinct()
+        kept = rows.select("id", "mark", "seq").join(first, ["id", "mark"]).select("id", "mark", "copied", "seq")
+        self.units = spread(kept).mapInArrow(partial(_units, k=k, w=min_len - k + 1), _UNITS)
 
 
 def _units(batches: Iterator[pa.RecordBatch], k: int, w: int) -> Iterator[pa.RecordBatch]:
     ctx = w - 1
     for b in batches:
-        code, off = K.letters(b.column(2))
-        ids, owners = b.column(0).to_numpy(), b.column(1).to_numpy()
+        code, off = K.letters(b.column(3))
+        ids, marks, copied = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
         for rows, c, o, shift, first, last in K.pieces(code, off, ctx + w + k):
-            p, h, begin, end = K.minimizers(c, o, k, w, first, last)
+            p, s0, n, begin, end, h = K.minimizers(c, o, k, w, first, last)
             if not len(p):
                 continue
             row = np.searchsorted(o, p, "right") - 1
@@ -54,12 +72,20 @@ def _units(batches: Iterator[pa.RecordBatch], k: int, w: int) -> Iterator[pa.Rec
             around = np.concatenate(
                 [_packed(padded, p[:, None] + (ctx - 1 - np.arange(ctx))), _packed(padded, p[:, None] + (ctx + k + np.arange(ctx)))], axis=1
             )
+            # the letters from the unit before to the end of this one, where two or three codes cover them
+            gap = np.diff(p, prepend=p[:1])
+            before = p - gap
+            near = (gap > 0) & (gap <= 2 * k) & (before >= begin)
+            back = K.mix(h[before] ^ K.mix(h[np.maximum(before, p - k)] + gap.astype(np.uint64), 3), 4) | np.uint64(1)
+            src = rows[row]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(K.signed(h)), pa.array(ids[rows[row]]), pa.array(owners[rows[row]]), pa.array(p - o[row] + shift, pa.int64()),
-                    pa.array((left * 65536 + right).astype(np.int32)), K.binary_column(around),
+                    pa.array(K.signed(h[p])), pa.array(ids[src]), pa.array(marks[src]), pa.array(p - o[row] + shift, pa.int64()),
+                    # letters left of the unit in its windows, most and fewest, and whether the sequence has copies
+                    pa.array((((p - s0) * 1024 + (p - s0 - n + 1)) * 2 + copied[src]).astype(np.int32)),
+                    pa.array((left * 65536 + right).astype(np.int32)), pa.array(K.signed(np.where(near, back, np.uint64(0)))), K.binary_column(around),
                 ],
-                ["h", "id", "owner", "pos", "reach", "around"],
+                [c.split()[0] for c in _UNITS.split(", ")],
             )
 
 
@@ -87,31 +113,45 @@ def _alike(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     return np.minimum(n, most)
 
 
-def sharing_pairs(left: DataFrame, right: DataFrame, min_len: int, same: bool) -> DataFrame:
-    """(a, b): distinct keys of ``left`` and ``right`` units whose sequences share ``min_len`` letters.
+def sharing_pairs(left: Collection, right: Collection, min_len: int) -> DataFrame:
+    """(a, b): distinct keys of two collections whose sequences share ``min_len`` letters; of one collection a < b.
 
-    With ``same`` both sides are the same collection and a < b. Otherwise a pair is left out where b is the owner of a.
-    A sort-merge join, so a unit that a third of all records hold is split by adaptive execution and nothing is gathered.
+    Between two collections a pair is left out where b is the owner of a. Two classes meet in the digest group of the
+    earliest unit of each stretch they share, not again at the units after it. A sort-merge join, so a unit that a third
+    of all classes hold is split by adaptive execution and nothing is gathered; keys of equal sequences are paired last.
     """
     # both sides keep the same columns under the same names, so that a collection is shuffled once however often it is met
-    x, y = left.alias("x"), right.alias("y")
-    keep = F.col("x.id") < F.col("y.id") if same else F.col("x.owner") != F.col("y.id")
+    cols = ["h", "id", "mark", "reach", "back", "around"]
+    x, y = left.units.select(cols).alias("x"), right.units.select(cols).alias("y")
+    keep = (F.col("x.back") == 0) | (F.col("x.back") != F.col("y.back"))
+    if left is right:
+        keep &= (F.col("x.id") < F.col("y.id")) | ((F.col("x.id") == F.col("y.id")) & (F.col("x.mark") < F.col("y.mark")))
     met = x.hint("merge").join(y, (F.col("x.h") == F.col("y.h")) & keep)
-    met = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "x.reach", "x.around", F.col("y.reach").alias("reach_b"), F.col("y.around").alias("around_b"))
-    return met.mapInArrow(partial(_verify, ctx=min_len - unit_letters(min_len)), "a bigint, b bigint").distinct()
+    named = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for c in ("id", "mark", "reach", "around") for side in "xy"]
+    met = met.select(named).mapInArrow(partial(_verify, ctx=min_len - unit_letters(min_len)), "a bigint, b bigint, am bigint, bm bigint").distinct()
+    of_a = left.members.select(F.col("rep").alias("a"), F.col("mark").alias("am"), F.col("id").alias("ka"), "owner")
+    of_b = right.members.select(F.col("rep").alias("b"), F.col("mark").alias("bm"), F.col("id").alias("kb"))
+    pairs = met.join(of_a, ["a", "am"]).join(of_b, ["b", "bm"])
+    if left is not right:
+        return pairs.where("owner <> kb").select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct()
+    copies = right.members.where("copied").select(F.col("rep").alias("a"), F.col("mark").alias("am"), F.col("id").alias("kb"))
+    equal = of_a.join(copies, ["a", "am"]).select("ka", "kb")
+    every = pairs.select("ka", "kb").where("ka <> kb").union(equal.where("ka < kb"))
+    return every.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
 
 
 def _verify(batches: Iterator[pa.RecordBatch], ctx: int) -> Iterator[pa.RecordBatch]:
+    names = ["a", "b", "am", "bm"]
     for b in batches:
         if not b.num_rows:
             continue
-        reach = [b.column(i).to_numpy() for i in (2, 4)]
-        (la, ra), (lb, rb) = _unpacked(b.column(3), ctx), _unpacked(b.column(5), ctx)
+        reach = [b.column(i).to_numpy() for i in (4, 5)]
+        (la, ra), (lb, rb) = _unpacked(b.column(6), ctx), _unpacked(b.column(7), ctx)
         left = _alike(la, lb, np.minimum(*(x >> 16 for x in reach)))
         right = _alike(ra, rb, np.minimum(*(x & 65535 for x in reach)))
         ok = pa.array(left + right >= ctx)
         # the same pair meets at every unit of a shared span: copies in a batch go before the shuffle
-        t = pa.Table.from_batches([b.select([0, 1]).filter(ok)]).group_by(["a", "b"]).aggregate([])
+        t = pa.Table.from_batches([b.select([0, 1, 2, 3]).filter(ok).rename_columns(names)]).group_by(names).aggregate([])
         yield from t.combine_chunks().to_batches()
 
 
@@ -120,50 +160,114 @@ def shared_spans(df: DataFrame, key: str, seq: str, min_len: int) -> DataFrame:
 
     ``kept`` marks what stays when shared text is kept once: stretches of which every window has its earliest occurrence
     (lowest key, then position) here; stretches are cut where this changes. Offsets count letters of the original
-    sequence, from 0, half-open. Linear in the input: windows around units that occur in several records are digested
-    (128 bits) and counted; no pair is formed. Repeated rows count once; records that share nothing give no row.
+    sequence, from 0, half-open. Linear in the input: every window of ``min_len`` letters is looked at in the digest group
+    of its own unit, which is the same wherever it occurs; no pair is formed. Repeated rows count once, one text of a key
+    with several; records that share nothing give no row.
     """
     k = unit_letters(min_len)
-    u = materialize(units(df, key, seq, min_len))
-    several = u.groupBy("h").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("h")
-    met = u.join(several, "h", "left_semi").select("h", "id", "pos", "reach", "around")
-    win = met.mapInArrow(partial(_windows, k=k, ctx=min_len - k), "d1 bigint, d2 bigint, id bigint, start bigint")
-    win = materialize(win.distinct())
-    first = win.groupBy("d1", "d2").agg(F.min(F.struct("id", "start")).alias("f"), F.max("id").alias("y")).where("f.id <> y")
-    # a window is digested once for every unit in it; its own unit, the least, is one of them in every record, so the
-    # earliest of all occurrences is known to at least that digest
-    mine = (F.col("id") == F.col("f.id")) & (F.col("start") == F.col("f.start"))
-    hit = win.join(first, ["d1", "d2"]).groupBy("id", "start").agg(F.min(mine).alias("kept"))
+    ctx = min_len - k
+    if ctx > 1023:
+        raise ValueError("spans of over 1055 letters are not looked for")
+    c = Collection(df, key, seq, min_len, one=True)
+    u = materialize(c.units.select("h", "id", "pos", "own", "around"))
+    hot = materialize(u.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h"))
+    buckets = u.count() // _BUCKET + 1
+    few = u.join(hot, "h", "left_anti") if not hot.isEmpty() else u
+
+    def whole(t: pa.Table) -> pa.Table:
+        return _in_groups(t, ctx)
+
+    found = few.groupBy(F.pmod("h", F.lit(buckets)).alias("at")).applyInArrow(whole, _STRETCHES)
+    if few is not u:
+        win = u.join(hot, "h", "left_semi").mapInArrow(partial(_windows, ctx=ctx), _WINDOWS)
+        first = win.groupBy("d1", "d2").agg(F.min(F.struct("id", "start")).alias("f"), ((F.min("id") != F.max("id")) | F.bool_or("copied")).alias("shared")).where("shared")
+        one = win.join(first, ["d1", "d2"]).select("id", "start", (F.col("start") + 1).alias("stop"), ((F.col("id") == F.col("f.id")) & (F.col("start") == F.col("f.start"))).alias("kept"), "copied")
+        found = found.union(one)
+    found = materialize(found)
+    out = _merged(found, ["id", "kept"])
+    # a copy shares all that its first record has, and keeps nothing
+    copies = c.members.where("id <> rep").select("rep", F.col("id").alias("copy"))
+    of = _merged(found.where("copied"), ["id"]).join(copies, F.col("id") == F.col("rep")).select(F.col("copy").alias("id"), F.lit(False).alias("kept"), "start", "stop")
+    release(u, hot)
+    return out.union(of.select(out.columns)).select(F.col("id").alias(key), "start", (F.col("stop") + (min_len - 1)).alias("stop"), "kept")
+
+
+_STRETCHES = "id bigint, start bigint, stop bigint, kept boolean, copied boolean"
+_WINDOWS = "d1 bigint, d2 bigint, id bigint, start bigint, copied boolean"
+
+
+def _merged(stretches: DataFrame, by: list[str]) -> DataFrame:
+    """Stretches (start, stop) of a record that touch, and agree in the rest of ``by``, as one."""
     w = Window.partitionBy("id").orderBy("start")
-    new = F.coalesce((F.col("start") != F.lag("start").over(w) + 1) | (F.col("kept") != F.lag("kept").over(w)), F.lit(True))
-    runs = hit.withColumn("run", F.sum(new.cast("int")).over(w))
-    spans = runs.groupBy("id", "run", "kept").agg(F.min("start").alias("start"), (F.max("start") + min_len).alias("stop"))
-    return spans.select(F.col("id").alias(key), "start", "stop", "kept")
+    new = F.col("start") != F.lag("stop").over(w)
+    for c in by[1:]:
+        new = new | (F.col(c) != F.lag(c).over(w))
+    runs = stretches.distinct().withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*by, "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
+
+
+def _digests(h: np.ndarray, own: np.ndarray, around: pa.Array, ctx: int) -> tuple[np.ndarray, ...]:
+    """(two digests, row, letters left of the unit) of every window of the units' own."""
+    left, right = _unpacked(around, ctx)
+    most, least = own >> 11, (own >> 1) & 1023
+    unit = h.view(np.uint64)
+    rights = [[np.zeros(len(h), np.uint64)] for _ in range(2)]
+    for s in range(2):
+        for j in range(ctx):
+            rights[s].append(K.mix(rights[s][-1] ^ (right[:, j].astype(np.uint64) + np.uint64(1)), s))
+    acc, out = [np.zeros(len(h), np.uint64) for _ in range(2)], []
+    for n in range(ctx + 1):  # n letters to the left, ctx - n to the right
+        if n:
+            acc = [K.mix(acc[s] ^ (left[:, n - 1].astype(np.uint64) + np.uint64(7)), s + 2) for s in range(2)]
+        ok = np.flatnonzero((n >= least) & (n <= most))
+        if len(ok):
+            # the letters are told apart by unit, offset of the unit and both sides
+            d = [K.mix(unit[ok] ^ K.mix(acc[s][ok] + np.uint64(n), 5 + s) ^ (rights[s][ctx - n][ok] << np.uint64(1)), 9 + s) for s in range(2)]
+            out.append((d[0], d[1], ok, np.full(len(ok), n, np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
 
+def _in_groups(t: pa.Table, ctx: int) -> pa.Table:
+    """The shared stretches of window starts in whole digest groups."""
+    t = t.combine_chunks()
+    h = t["h"].to_numpy()
+    _, group, size = np.unique(h, return_inverse=True, return_counts=True)
+    own = t["own"].to_numpy()
+    t = t.filter(pa.array((size[group] > 1) | (own % 2 == 1)))  # what no other unit can hold is shared by copies alone
+    none = pa.table({"id": pa.array([], pa.int64()), "start": pa.array([], pa.int64()), "stop": pa.array([], pa.int64()), "kept": pa.array([], pa.bool_()), "copied": pa.array([], pa.bool_())})
+    if not t.num_rows:
+        return none
+    ids, pos, own = (t[c].to_numpy() for c in ("id", "pos", "own"))
+    d1, d2, row, n = _digests(t["h"].to_numpy(), own, t["around"], ctx)
+    start, key, copied = pos[row] - n, ids[row], own[row] % 2 == 1
+    by = np.lexsort([start, key, d2, d1])
+    d1, d2, start, key, copied = (x[by] for x in (d1, d2, start, key, copied))
+    fresh = np.concatenate([[True], (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])])
+    at = np.flatnonzero(fresh)
+    which = np.cumsum(fresh) - 1
+    last = np.append(at[1:], len(d1)) - 1
+    shared = ((key[at] != key[last]) | np.logical_or.reduceat(copied, at))[which]
+    kept = (key == key[at][which]) & (start == start[at][which])
+    key, start, kept, copied = (x[shared] for x in (key, start, kept, copied))
+    if not len(key):
+        return none
+    by = np.lexsort([start, key])
+    key, start, kept, copied = (x[by] for x in (key, start, kept, copied))
+    again = (key[1:] == key[:-1]) & (start[1:] == start[:-1])  # a row that came twice
+    one = np.concatenate([[True], ~again])
+    key, start, kept, copied = (x[one] for x in (key, start, kept, copied))
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (start[1:] != start[:-1] + 1) | (kept[1:] != kept[:-1])]))
+    end = np.append(new[1:], len(key)) - 1
+    return pa.table({"id": key[new], "start": start[new], "stop": start[end] + 1, "kept": kept[new], "copied": copied[new]})
 
-def _windows(batches: Iterator[pa.RecordBatch], k: int, ctx: int) -> Iterator[pa.RecordBatch]:
-    """Digests of every window of ctx + k letters that holds the unit."""
+
+def _windows(batches: Iterator[pa.RecordBatch], ctx: int) -> Iterator[pa.RecordBatch]:
+    """Digests (128 bits) of the windows of units, for groups too large to gather."""
     for b in batches:
-        if not b.num_rows:
-            continue
-        h, ids, pos, reach = (b.column(i).to_numpy() for i in range(4))
-        left, right = _unpacked(b.column(4), ctx)
-        unit = h.view(np.uint64)
-        acc, out = [np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint64)], []
-        rights = [[np.zeros(len(h), np.uint64)] for _ in range(2)]
-        for s in range(2):
-            for j in range(ctx):
-                rights[s].append(K.mix(rights[s][-1] ^ (right[:, j].astype(np.uint64) + np.uint64(1)), s))
-        for n in range(ctx + 1):  # n letters to the left, ctx - n to the right
-            if n:
-                acc = [K.mix(acc[s] ^ (left[:, n - 1].astype(np.uint64) + np.uint64(7)), s + 2) for s in range(2)]
-            ok = np.flatnonzero(((reach >> 16) >= n) & ((reach & 65535) >= ctx - n))
-            if len(ok):
-                # the letters are told apart by unit, offset of the unit and both sides; the offset is fixed by the window
-                d = [K.mix(unit[ok] ^ K.mix(acc[s][ok] + np.uint64(n), 5 + s) ^ (rights[s][ctx - n][ok] << np.uint64(1)), 9 + s) for s in range(2)]
-                out.append((K.signed(d[0]), K.signed(d[1]), ids[ok], pos[ok] - n))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["d1", "d2", "id", "start"])
+        if b.num_rows:
+            h, ids, pos, own = (b.column(i).to_numpy() for i in range(4))
+            d1, d2, row, n = _digests(h, own, b.column(4), ctx)
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(d1)), pa.array(K.signed(d2)), pa.array(ids[row]), pa.array(pos[row] - n), pa.array(own[row] % 2 == 1)], ["d1", "d2", "id", "start", "copied"])
 
 
 def coverage(df: DataFrame, spans: DataFrame, key: str, seq: str) -> DataFrame:

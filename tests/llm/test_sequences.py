@@ -141,7 +141,8 @@ def test_a_key_scored_twice_is_ranked_once(spark):
     assert got == want and len(got) == 3
 
 
-def test_spans_by_brute_force(spark):
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_spans_by_brute_force(spark, monkeypatch, hot):
     r = random.Random(6)
     n = 24
     share = ["".join(r.choice("ACGT") for _ in range(m)) for m in (n - 1, n, n + 9, 3 * n)]
@@ -151,15 +152,16 @@ def test_spans_by_brute_force(spark):
         for _ in range(r.randint(0, 2)):
             s += r.choice(share) + "".join(r.choice("ACGTN") for _ in range(r.randint(0, 20)))
         texts.append(s if r.random() < 0.7 else s.lower())
-    texts += [None, "", "N" * 80, "A" * 100, "A" * 40, _rc(share[3])]
+    texts += [None, "", "N" * 80, "A" * 100, "A" * 40, _rc(share[3]), texts[4].lower(), texts[7], texts[7], "AC" * 30, "AC" * 30]
+    monkeypatch.setattr(spans, "HOT", hot)
     df = spark.createDataFrame([(i, s, "x", 0) for i, s in enumerate(texts)] + [(3, texts[3], "x", 1), (None, texts[3], "x", 1)], "key int, seq string, id string, h int")
     has = {i: {(s or "").upper()[p : p + n] for p in range(len(s or "") - n + 1)} for i, s in enumerate(texts)}
     has = {i: {w for w in ws if set(w) <= set("ACGT")} for i, ws in has.items()}
     want = [(a, b) for a in has for b in has if a < b and has[a] & has[b]]
-    u = spans.units(df, "key", "seq", n)
-    assert rows(spans.sharing_pairs(u, u, n, True)) == sorted(want, key=repr) and len(want) > 20
+    u = spans.Collection(df, "key", "seq", n)
+    assert rows(spans.sharing_pairs(u, u, n)) == sorted(want, key=repr) and len(want) > 20
     drawn = spark.createDataFrame([(100, 3, texts[3]), (101, None, share[3]), (102, 5, "ACGT")], "sig bigint, own int, seq string")
-    got = rows(spans.sharing_pairs(spans.units(drawn, "sig", "seq", n, "own"), u, n, False))
+    got = rows(spans.sharing_pairs(spans.Collection(drawn, "sig", "seq", n, "own"), u, n))
     full = {share[3][p : p + n] for p in range(2 * n + 1)}
     assert got == sorted([(100, b) for b in has if b != 3 and has[3] & has[b]] + [(101, b) for b in has if full & has[b]], key=repr)
     first = {}

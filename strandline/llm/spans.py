@@ -35,9 +35,9 @@ def unit_letters(min_len: int) -> int:
 class Collection:
     """The sequences of a table as classes: ``members`` (id, owner, rep, mark; only sequences that hold a span) and ``units``.
 
-    ``rep`` is the least key of a class, ``mark`` tells the classes of a key with several texts; with ``one`` such a key
-    keeps one of them. Case is ignored; letters other than A C G T belong to no span. NULL, empty and short sequences have
-    no unit; rows with a NULL key are left out; repeated rows count once.
+    ``rep`` is the least key of a class, ``mark`` tells the classes of a key with several texts (0 for any other); with
+    ``one`` such a key keeps one of its texts. Case is ignored; letters other than A C G T belong to no span. NULL, empty
+    and short sequences have no unit; rows with a NULL key are left out; repeated rows count once.
     """
 
     def __init__(self, df: DataFrame, key: str, seq: str, min_len: int, owner: str | None = None, one: bool = False):
@@ -45,15 +45,20 @@ class Collection:
         rows = df.where(F.col(key).isNotNull()).select(
             F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(owner or key).cast("bigint"), F.lit(-(2**63))).alias("owner"), F.upper(F.coalesce(F.col(seq), F.lit(""))).alias("seq")
         )
-        rows = rows.where(F.col("seq").rlike(f"[ACGT]{{{min_len}}}")).withColumn("mark", F.xxhash64("seq"))
-        held = rows.select("id", "owner", "mark", F.xxhash64(F.lit(1), "seq").alias("mark2")).distinct()
+        rows = rows.where(F.col("seq").rlike(f"[ACGT]{{{min_len}}}")).withColumn("text", F.xxhash64("seq"))
+        held = rows.select("id", "owner", "text", F.xxhash64(F.lit(1), "seq").alias("text2")).distinct()
+        many = held.groupBy("id").agg(F.min("text").alias("only"), F.max("text").alias("other")).where("only <> other").drop("other")
         if one:
-            held = held.join(held.groupBy("id").agg(F.min("mark").alias("m")), "id").where("mark = m").drop("m")
-        rep = held.groupBy("mark", "mark2").agg(F.min("id").alias("rep"), (F.min("id") != F.max("id")).alias("copied"))
-        self.members = materialize(held.join(rep, ["mark", "mark2"]).select("id", "owner", "rep", "mark", "copied"))
-        # sequences that are cut: the first of each class
-        first = self.members.where("id = rep").select("id", "mark", "copied").distinct()
-        kept = rows.select("id", "mark", "seq").join(first, ["id", "mark"]).select("id", "mark", "copied", "seq")
+            held = held.join(many, "id", "left").where("only IS NULL OR text = only").drop("only")
+        rep = held.groupBy("text", "text2").agg(F.min("id").alias("rep"), (F.min("id") != F.max("id")).alias("copied"))
+        rep = rep.join(many.withColumnRenamed("id", "rep"), "rep", "left").withColumn("mark", F.when(F.col("only").isNull(), F.lit(0)).otherwise(F.col("text")).cast("bigint"))
+        self.members = materialize(held.join(rep, ["text", "text2"]).select("id", "owner", "rep", "mark", "copied", "text"))
+        # the first of each class is cut; only where there are copies or several texts have rows to be told anything
+        told = self.members.where("copied OR mark <> 0").select("id", "text", "mark", "copied", (F.col("id") == F.col("rep")).alias("first")).distinct()
+        if one:
+            told = told.union(rows.join(many, "id").where("text <> only").select("id", "text", F.lit(0), F.lit(False), F.lit(False)).distinct())
+        kept = rows.select("id", "text", "seq").join(told, ["id", "text"], "left").where("coalesce(first, true)")
+        kept = kept.select("id", F.coalesce("mark", F.lit(0)).cast("bigint").alias("mark"), F.coalesce("copied", F.lit(False)).alias("copied"), "seq")
         self.units = spread(kept).mapInArrow(partial(_units, k=k, w=min_len - k + 1), _UNITS)
 
 

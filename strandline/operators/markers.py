@@ -91,12 +91,21 @@ def fetch_sequences(loc: DataFrame, records: DataFrame) -> DataFrame:
 def strand(kmers, rep):
     """How an order lies to the representative: ``+``, ``-``, ``?`` (unknown) or ``u`` (one shared k-mer).
 
-    Shared k-mers in a growing sequence of places of a representative without repeats are ``+``, in a shrinking one ``-``.
+    Shared k-mers in a growing sequence of places of the representative are ``+``, in a shrinking one ``-``. Where the
+    representative repeats a k-mer a place is not unique: there the shared k-mers have to follow each other in it, or in
+    its reverse, with others between.
     """
     shared = F.filter(kmers, lambda x: F.array_contains(rep, x))
     at = F.transform(shared, lambda x: F.array_position(rep, x))
     n = F.size(shared)
-    up, down = at == F.array_sort(at), at == F.reverse(F.array_sort(at))
+
+    def within(order):
+        met = F.aggregate(order, F.lit(0), lambda i, x: i + F.coalesce((F.get(shared, i) == x).cast("int"), F.lit(0)))
+        return met == n
+
+    again = F.size(F.array_distinct(rep)) < F.size(rep)
+    up = F.when(again, within(rep)).otherwise(at == F.array_sort(at))
+    down = F.when(again, within(F.reverse(rep))).otherwise(at == F.reverse(F.array_sort(at)))
     return (
         F.when(kmers == rep, "+").when(kmers == F.reverse(rep), "-").when(n == 0, "?").when(n == 1, "u").when(up, "+").when(down, "-").otherwise("?")
     )

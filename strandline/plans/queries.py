@@ -69,8 +69,11 @@ def minimizers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rolling_minimizers(spark: SparkSession, d: str) -> DataFrame:
+    """Minimizers of k = 21, w = 20 of every record by the rolling hash: how many, and sums that tell positions and hashes."""
     m = sketch.minimizers(_records(spark, d), 21, 20)
-    return m.groupBy("assembly_idx", "record_no").agg(F.count("*").alias("n"), F.countDistinct("hash").alias("n_hashes"))
+    return m.groupBy("assembly_idx", "record_no").agg(
+        F.count("*").alias("n"), F.sum("pos").alias("positions"), F.min("hash").alias("least"), F.max("hash").alias("most"), F.expr("bit_xor(hash)").alias("folded")
+    )
 
 
 def node_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -369,6 +372,22 @@ SELECT record_idx, assembly_idx FROM (SELECT DISTINCT record_idx FROM kmers) JOI
      w AS (SELECT assembly_idx, record_no, min({{'hash': hash, 'neg': -pos}}) OVER (PARTITION BY assembly_idx, record_no ORDER BY pos ROWS {W - 1} PRECEDING) AS m,
                   row_number() OVER (PARTITION BY assembly_idx, record_no ORDER BY pos) AS rn FROM k)
 SELECT DISTINCT assembly_idx, record_no, m.hash AS hash, -m.neg AS pos FROM w WHERE rn >= {W}""",
+    # the rolling hash letter by letter: 64 bits are a ring of 31 and one of 33, turned apart; both strands are added
+    "rolling_minimizers": f"""WITH {_R},
+     seed AS (SELECT unnest(['A', 'C', 'G', 'T']) AS l, unnest(['T', 'G', 'C', 'A']) AS other, unnest([{", ".join(f"{x}::HUGEINT" for x in sketch.NT_SEEDS)}]) AS s),
+     ring AS (SELECT l, other, s // 8589934592 AS up, s % 8589934592 AS lo, unnest(range(0, 21))::HUGEINT AS j FROM seed),
+     turned AS (SELECT l, other, j, ((up * (1::HUGEINT << (j % 31))) % 2147483648 + (up // (1::HUGEINT << (31 - j % 31)))) % 2147483648 * 8589934592
+                  + (lo * (1::HUGEINT << (j % 33))) % 8589934592 + lo // (1::HUGEINT << (33 - j % 33)) AS v FROM ring),
+     x AS (SELECT assembly_idx, record_no, upper(seq) AS s, unnest(range(0, length(seq) - 20)) AS pos FROM r WHERE length(seq) >= 21),
+     k AS (SELECT assembly_idx, record_no, pos, s[pos + 1:pos + 21] AS k FROM x WHERE regexp_full_match(s[pos + 1:pos + 21], '[ACGT]+')),
+     y AS (SELECT assembly_idx, record_no, pos, i, k[i + 1] AS l FROM (SELECT *, unnest(range(0, 21)) AS i FROM k)),
+     h AS (SELECT assembly_idx, record_no, pos, (bit_xor(f.v::UHUGEINT) + bit_xor(b.v::UHUGEINT)) % 18446744073709551616::UHUGEINT AS low
+           FROM y JOIN turned f ON f.l = y.l AND f.j = 20 - i JOIN turned b ON b.other = y.l AND b.j = i GROUP BY ALL),
+     w AS (SELECT assembly_idx, record_no, min({{'low': low, 'neg': -pos}}) OVER o AS m, row_number() OVER (PARTITION BY assembly_idx, record_no ORDER BY pos) AS rn
+           FROM h WINDOW o AS (PARTITION BY assembly_idx, record_no ORDER BY pos ROWS 19 PRECEDING)),
+     p AS (SELECT DISTINCT assembly_idx, record_no, -m.neg AS pos, m.low * {(1 ^ (21 * sketch.NT_MULTIPLIER)) & 0xFFFFFFFFFFFFFFFF}::UHUGEINT % 18446744073709551616::UHUGEINT AS t FROM w WHERE rn >= 20),
+     z AS (SELECT assembly_idx, record_no, pos::BIGINT AS pos, (xor(t, t // {1 << sketch.NT_SHIFT}::UHUGEINT)::HUGEINT - 9223372036854775808::HUGEINT)::BIGINT AS hash FROM p)
+SELECT assembly_idx, record_no, count(*) AS n, sum(pos)::BIGINT AS positions, min(hash) AS least, max(hash) AS most, bit_xor(hash) AS folded FROM z GROUP BY ALL""",
     "node_counts": f"{_O} SELECT hash, count(*) AS n_occ FROM o GROUP BY ALL",
     "edge_weights": f"{_E} SELECT * FROM e",
     "node_penalties": f"{_N} SELECT hash, n_occ, n_tar, n_neg, round(penalty, 9) AS penalty FROM n",
@@ -397,6 +416,14 @@ SELECT least(first, second) AS first, greatest(first, second) AS second, sum(wei
        FROM loc JOIN rep USING (subgraph_id) WHERE kmers = rep GROUP BY ALL)
 SELECT subgraph_id, x.assembly_idx AS assembly_idx, x.record_no AS record_no, x.start AS start, x.stop AS stop, n_rep::BIGINT AS n_rep, len(rep)::INT AS n_nodes,
        round(n_rep / nt::DOUBLE, 9) AS rep_ratio FROM w, t WHERE x.len >= 22 AND len(rep) > 1 AND len(list_distinct(rep)) = len(rep)""",
+    "strands": f"""{_L},
+     s1 AS (SELECT subgraph_id, assembly_idx, kmers, rep, list_filter(kmers, lambda z: list_contains(rep, z)) AS met FROM loc JOIN rep USING (subgraph_id)),
+     s2 AS (SELECT *, list_transform(met, lambda z: list_position(rep, z)) AS places, len(list_distinct(rep)) < len(rep) AS again,
+                   ',' || array_to_string(met, ',(?:.*,)?') || ',' AS pattern FROM s1)
+SELECT subgraph_id, assembly_idx, CASE WHEN kmers = rep THEN '+' WHEN kmers = list_reverse(rep) THEN '-' WHEN len(met) = 0 THEN '?' WHEN len(met) = 1 THEN 'u'
+       WHEN CASE WHEN again THEN regexp_matches(',' || array_to_string(rep, ',') || ',', pattern) ELSE places = list_sort(places) END THEN '+'
+       WHEN CASE WHEN again THEN regexp_matches(',' || array_to_string(list_reverse(rep), ',') || ',', pattern) ELSE places = list_reverse_sort(places) END THEN '-' ELSE '?' END AS strand
+FROM s2""",
     "fetched_sequences": f"""WITH {_R} SELECT sig_no, r.record_id, upper(substr(r.seq, start + 1, stop - start)) AS seq, upper(substr(r.seq, start + 1, stop - start)) = s.seq AS agrees
 FROM (SELECT DISTINCT sig_no, record_idx, start, stop, seq FROM signatures) s JOIN r USING (record_idx)""",
     "signature_headers": """SELECT DISTINCT sig_no, assembly_idx || '-' || coalesce(record_id, '') || '-' || start || ':' || stop AS header FROM signatures""",

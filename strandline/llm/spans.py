@@ -23,6 +23,7 @@ from strandline.operators import kernels as K
 from strandline.session import materialize, release, spread
 
 _UNITS = "h bigint, id bigint, mark bigint, pos bigint, own int, reach int, back bigint, around binary"
+_FEW = 500_000  # rows of three numbers that are broadcast
 _BUCKET = 50_000  # units that one call of Python takes, whole digest groups
 #: Digest groups of more units are not gathered: their windows are grouped by joins.
 HOT = 20_000
@@ -57,7 +58,9 @@ class Collection:
         told = self.members.where("copied OR mark <> 0").select("id", "text", "mark", "copied", (F.col("id") == F.col("rep")).alias("first")).distinct()
         if one:
             told = told.union(rows.join(many, "id").where("text <> only").select("id", "text", F.lit(0), F.lit(False), F.lit(False)).distinct())
-        kept = rows.select("id", "text", "seq").join(told, ["id", "text"], "left").where("coalesce(first, true)")
+        told = materialize(told)
+        few = F.broadcast(told) if told.count() <= _FEW else told  # few: some tens of MB, and sequences stay where they are read
+        kept = rows.select("id", "text", "seq").join(few, ["id", "text"], "left").where("coalesce(first, true)")
         kept = kept.select("id", F.coalesce("mark", F.lit(0)).cast("bigint").alias("mark"), F.coalesce("copied", F.lit(False)).alias("copied"), "seq")
         self.units = spread(kept).mapInArrow(partial(_units, k=k, w=min_len - k + 1), _UNITS)
 

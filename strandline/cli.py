@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from dataclasses import fields
 
@@ -42,7 +43,10 @@ def main(argv: list[str] | None = None) -> int:
     from strandline.api import run
 
     config = config_of(sys.argv[1:] if argv is None else argv)
-    run(SparkSession.builder.getOrCreate(), config)
+    build = SparkSession.builder
+    if SparkSession.getActiveSession() is None and not any(v in os.environ for v in ("MASTER", "SPARK_REMOTE", "PYSPARK_SUBMIT_ARGS", "PYSPARK_GATEWAY_PORT")):
+        build = build.master(f"local[{config.n_cpu}]")  # not started by spark-submit: threads of this machine
+    run(build.getOrCreate(), config)
     return 0
 
 

@@ -18,10 +18,35 @@ class Secret(str):
         return "**********" if len(self) else ""
 
 
+_INPUTS = {"tar_paths": "file", "neg_paths": "file", "tar_dir": "directory", "neg_dir": "directory"}
+# What holds for an option, or for several together, and how to say that it does not.
+_RULES = {
+    "targets": (lambda c: c.download_only or c.tar_taxa or c.tar_paths or c.tar_dir, "one of tar_paths, tar_taxa and tar_dir is needed"),
+    "non-targets": (lambda c: c.download_only or c.neg_taxa or c.neg_paths or c.neg_dir, "one of neg_paths, neg_taxa and neg_dir is needed"),
+    "kmerlen": (lambda c: 1 <= c.kmerlen <= 255, "from 1 to 255"),
+    "windowsize": (lambda c: c.windowsize >= 1, "at least 1"),
+    "n_cpu": (lambda c: c.n_cpu >= 1, "at least 1"),
+    "penalty_th": (lambda c: c.penalty_th is None or 0 <= c.penalty_th <= 1, "from 0 to 1"),
+    "stringency": (lambda c: 0 <= c.stringency <= 10, "from 0 to 10"),
+    "max_len": (lambda c: c.max_len is None or c.max_len > c.min_len, "greater than min_len"),
+    "level": (lambda c: c.level in LEVELS, f"one of {', '.join(LEVELS)}"),
+    "source": (lambda c: c.source in SOURCES, f"one of {', '.join(SOURCES)}"),
+    "order": (lambda c: c.order in ("shuffle", "hash"), "shuffle or hash"),
+}
+
+
+def _existing(name: str, value: str | Path, kind: str) -> Path:
+    p = Path(value).expanduser()
+    if not (p.is_file() if kind == "file" else p.is_dir()):
+        raise ValueError(f"{name}: {value} is no {kind}")
+    return p.resolve()
+
+
 @dataclass(frozen=True)
 class Config:
     """Immutable and checked when made; paths are resolved and must exist."""
 
+    # Names and defaults of the public options.
     tar_taxa: list[str] | None = None
     neg_taxa: list[str] | None = None
     tar_paths: Path | None = None
@@ -62,37 +87,20 @@ class Config:
     n_cpu: int = 4
     low_memory: bool = False
 
+    # options of this engine: the order of seeds (``hash`` collects none of them), and where Parquet tables go
+    order: str = "shuffle"
+    tables: str | None = None
+
     def __post_init__(self) -> None:
-        put = lambda name, value: object.__setattr__(self, name, value)
-        for name, is_right, kind in (*((n, Path.is_file, "file") for n in ("tar_paths", "neg_paths")), *((n, Path.is_dir, "directory") for n in ("tar_dir", "neg_dir"))):
-            value = getattr(self, name)
-            if value is None:
-                continue
-            try:
-                p = Path(value).expanduser().resolve(strict=True)
-            except OSError:
-                raise ValueError(f"{name}: {value} does not exist") from None
-            if not is_right(p):
-                raise ValueError(f"{name}: {p} is no {kind}")
-            put(name, p)
-        put("prefix", Path(self.prefix))
+        for name, (right, message) in _RULES.items():
+            if not right(self):
+                raise ValueError(f"{name}: {message}")
+        for name, kind in _INPUTS.items():
+            if getattr(self, name) is not None:
+                object.__setattr__(self, name, _existing(name, getattr(self, name), kind))
+        object.__setattr__(self, "prefix", Path(self.prefix))
         if self.api_key is not None:
-            put("api_key", Secret(self.api_key))
-        if not self.download_only:
-            if not (self.tar_taxa or self.tar_paths or self.tar_dir):
-                raise ValueError("a target input is needed: tar_paths, tar_taxa or tar_dir")
-            if not (self.neg_taxa or self.neg_paths or self.neg_dir):
-                raise ValueError("a non-target input is needed: neg_paths, neg_taxa or neg_dir")
-        if self.penalty_th is not None and not 0 <= self.penalty_th <= 1:
-            raise ValueError("penalty_th is from 0 to 1")
-        if not 0 <= self.stringency <= 10:
-            raise ValueError("stringency is from 0 to 10")
-        if self.max_len is not None and self.max_len <= self.min_len:
-            raise ValueError("max_len is greater than min_len")
-        if self.level not in LEVELS or self.source not in SOURCES:
-            raise ValueError(f"level is one of {LEVELS}, source one of {SOURCES}")
-        if not 1 <= self.kmerlen <= 255 or self.windowsize < 1 or self.n_cpu < 1:
-            raise ValueError("kmerlen, windowsize and n_cpu are positive")
+            object.__setattr__(self, "api_key", Secret(self.api_key))
 
     def to_dict(self) -> dict:
         """For config.json: with the version, without the key."""

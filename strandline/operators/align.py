@@ -12,7 +12,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.sequence import revcomp
@@ -63,18 +63,51 @@ def seed_hits(queries: DataFrame, records: DataFrame, k: int = SEED, step: int |
     return met.groupBy("qseqid", "strand", "assembly_idx", "record_no", "band").agg(F.count("*").alias("n_seeds"))
 
 
-def align(queries: DataFrame, records: DataFrame, max_evalue: float = 10.0, k: int = SEED) -> DataFrame:
+#: Letters of a seed and steps between those of a record, by the kind of search; shorter seeds find more diverged hits.
+TASKS = {"blastn": (16, 8), "megablast": (28, 14), "blastn-short": (8, 2)}
+
+
+def align(
+    queries: DataFrame, records: DataFrame, max_evalue: float = 10.0, k: int | None = None, *, task: str = "blastn", columns: list[str] | None = None,
+    max_hsps: int | None = 1000, max_targets: int | None = 50_000,
+) -> DataFrame:
     """Hits of ``queries`` (qseqid, seq) in ``records`` (assembly_idx, record_no, record_id, seq): the best of each band.
 
-    Positions count from 1, inclusive; a hit on the other strand has ``sstart > send`` as is usual.
+    Positions count from 1, inclusive; a hit on the other strand has ``sstart > send`` as is usual. ``task`` is the kind of
+    search (:data:`TASKS`), ``k`` another seed length, ``columns`` the columns wanted. As such searches do, it reports for a
+    query at most ``max_targets`` records, those of the best hits, and of each at most ``max_hsps`` hits; None for all.
+    Only the letters of a record that a band can reach leave its join.
     """
-    seeds = seed_hits(queries, records, k)
+    if task not in TASKS:
+        raise ValueError(f"task is one of {', '.join(TASKS)}")
+    k, step = (k, None) if k else TASKS[task]
+    seeds = seed_hits(queries, records, k, step)
     q = queries.select("qseqid", F.upper("seq").alias("q"))
     r = records.select("assembly_idx", "record_no", F.upper("seq").alias("s"))
     space = records.agg(F.sum(F.length("seq"))).first()[0] or 0
-    both = seeds.join(q, "qseqid").join(r, ["assembly_idx", "record_no"]).select("qseqid", "assembly_idx", "record_no", "strand", "band", "q", "s")
-    hits = both.mapInArrow(partial(_align, space=int(space)), _HITS).where(F.col("evalue") <= max_evalue)
-    return hits.distinct()
+    first = (F.col("band") - 1) * BAND  # the lowest diagonal looked at
+    cut = F.greatest(first, F.lit(0)).cast("int")
+    both = seeds.join(q, "qseqid").join(r, ["assembly_idx", "record_no"]).select(
+        "qseqid", "assembly_idx", "record_no", "strand", "q", cut.alias("cut"), (first - cut).cast("int").alias("first"),
+        F.substring(F.col("s"), cut + 1, F.greatest(first + 3 * BAND + F.length("q") - cut, F.lit(0)).cast("int")).alias("s"),
+    )
+    hits = both.mapInArrow(partial(_align, space=int(space)), _HITS).where(F.col("evalue") <= max_evalue).distinct()
+    hits = _capped(hits, max_hsps, max_targets)
+    return hits.select(columns) if columns else hits
+
+
+def _capped(hits: DataFrame, max_hsps: int | None, max_targets: int | None) -> DataFrame:
+    at = ["qseqid", "assembly_idx", "record_no"]
+    if max_hsps:
+        w = Window.partitionBy(*at).orderBy(F.desc("bitscore"), "sstart", "qstart", "send", "qend")
+        hits = hits.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max_hsps).drop("rn")
+    if max_targets:
+        best = hits.groupBy(*at).agg(F.max("bitscore").alias("best"))
+        many = best.groupBy("qseqid").count().where(F.col("count") > max_targets).select("qseqid")
+        w = Window.partitionBy("qseqid").orderBy(F.desc("best"), "assembly_idx", "record_no")
+        over = best.join(many, "qseqid", "left_semi").withColumn("rn", F.row_number().over(w)).where(F.col("rn") > max_targets)
+        hits = hits.join(over.select(*at), at, "left_anti")
+    return hits
 
 
 def _align(batches: Iterator[pa.RecordBatch], space: int) -> Iterator[pa.RecordBatch]:
@@ -84,7 +117,7 @@ def _align(batches: Iterator[pa.RecordBatch], space: int) -> Iterator[pa.RecordB
         for at in range(0, len(rows), _BLOCK):
             part = rows[at : at + _BLOCK]
             qs = [r["q"] if r["strand"] > 0 else r["q"][::-1].translate(swap) for r in part]
-            first = np.array([r["band"] * BAND - BAND for r in part])
+            first = np.array([r["first"] for r in part])
             out = []
             for row, hit in zip(part, local_alignments(qs, [r["s"] for r in part], first, 3 * BAND), strict=True):
                 score, ident, mis, gaps, q0, q1, s0, s1 = hit
@@ -97,6 +130,7 @@ def _align(batches: Iterator[pa.RecordBatch], space: int) -> Iterator[pa.RecordB
                     q0, q1, start, end = n - q1, n - q0, s1, s0 + 1
                 else:
                     start, end = s0 + 1, s1
+                start, end = start + row["cut"], end + row["cut"]
                 out.append((row["qseqid"], row["assembly_idx"], row["record_no"], ident, mis, gaps, q0 + 1, q1, start, end, ev, bits, row["s"][s0:s1]))
             if out:
                 kinds = [pa.int32()] * 10 + [pa.float64(), pa.float64(), pa.string()]

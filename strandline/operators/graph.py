@@ -35,6 +35,28 @@ def record_assembly(record_idx: DataFrame, offsets: DataFrame) -> DataFrame:
     return r.join(cut, "block").where("record_idx >= first_record AND record_idx < stop_record").select("record_idx", "assembly_idx")
 
 
+def check_offsets(offsets: DataFrame, assemblies: DataFrame) -> int:
+    """The number of records that the offsets (assembly_idx, first_record, stop_record) number.
+
+    An error where they do not begin at 0, leave gaps, overlap or shrink, or are not one row for each assembly.
+    """
+    w = Window.orderBy("assembly_idx")  # one row an assembly
+    wrong = (F.col("first_record") != F.coalesce(F.lag("stop_record").over(w), F.lit(0))) | (F.col("stop_record") < F.col("first_record"))
+    r = offsets.withColumn("wrong", wrong).agg(F.count_if("wrong").alias("w"), F.count("*").alias("n"), F.max("stop_record").alias("last")).first()
+    if r["w"]:
+        raise ValueError("record offsets must begin at 0 and follow each other without gaps")
+    per = assemblies.select("assembly_idx").distinct()
+    if r["n"] != per.count() or not per.join(offsets, "assembly_idx", "left_anti").isEmpty():
+        raise ValueError("record offsets must be one row for each assembly")
+    return r["last"] or 0
+
+
+def check_records(kmers: DataFrame, n_records: int) -> None:
+    """An error where a k-mer's ``record_idx`` is NULL or none of the ``n_records``."""
+    if not kmers.where(F.coalesce((F.col("record_idx") < 0) | (F.col("record_idx") >= n_records), F.lit(True))).isEmpty():
+        raise ValueError("a record_idx is outside the record offsets")
+
+
 def count_nodes(kmers: DataFrame) -> DataFrame:
     return kmers.groupBy("hash").agg(F.count("*").alias("n_occ"))
 

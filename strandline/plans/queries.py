@@ -282,7 +282,16 @@ def seed_hits(spark: SparkSession, d: str) -> DataFrame:
 def alignments(spark: SparkSession, d: str) -> DataFrame:
     """Signatures aligned to all records, with the seeds and the E-value of a run."""
     q = table(spark, d, "signatures").select(F.col("sig_no").cast("int").alias("qseqid"), "seq").distinct()
-    return align.align(q, _records(spark, d)).drop("sseq")
+    return align.align(q, _records(spark, d), max_hsps=None, max_targets=None).drop("sseq")
+
+
+def exact_alignments(spark: SparkSession, d: str) -> DataFrame:
+    """The records that hold a whole signature, and its strand, for signatures with 23 known letters in a row: these the seeds are sure to find."""
+    q = table(spark, d, "signatures").select(F.col("sig_no").cast("int").alias("qseqid"), "seq").distinct()
+    hits = align.align(q, _records(spark, d), max_hsps=None, max_targets=None)
+    n = q.where(F.col("seq").rlike("[ACGT]{23}")).select("qseqid", F.length("seq").alias("n"))
+    whole = hits.join(n, "qseqid").where("nident = n AND mismatch = 0 AND gaps = 0 AND qstart = 1 AND qend = n")
+    return whole.select("qseqid", "assembly_idx", "record_no", (F.col("sstart") < F.col("send")).alias("forward")).distinct()
 
 
 def search_names(spark: SparkSession, d: str) -> DataFrame:
@@ -305,7 +314,7 @@ QUERIES = {
         thresholds, heavy_edges, connected_nodes, seed_nodes, graph_components, subgraphs, subgraph_shapes, graph_orders, node_degrees, directed_paths, merged_paths,
         kmers_in_nodes, run_summaries, locations, representatives, strands, fetched_sequences, signature_headers, signature_csv, best_hits,
         marker_metrics, bottom_sketches, sketch_jaccard, expected_fractions, shared_cells, repeated_ids, even_chunks, weighted_modes, seed_hits,
-        alignments, search_names, event_sessions,
+        alignments, exact_alignments, search_names, event_sessions,
     )
 }
 
@@ -458,6 +467,12 @@ SELECT assembly_idx, record_id, letters FROM w QUALIFY row_number() OVER (PARTIT
      y AS (SELECT assembly_idx, record_no, i AS at, s[i + 1:i + 31] AS k FROM (SELECT assembly_idx, record_no, upper(seq) AS s, unnest(range(0, length(seq) - 30)) AS i FROM r))
 SELECT id AS qseqid, strand, assembly_idx, record_no, floor((y.at - x.at) / {align.BAND}.0)::BIGINT AS band, count(*) AS n_seeds
 FROM x JOIN y USING (k) WHERE regexp_full_match(k, '[ACGT]+') GROUP BY ALL""",
+    "exact_alignments": f"""WITH {_R}, q AS (SELECT DISTINCT sig_no::INT AS id, upper(seq) AS s FROM signatures WHERE regexp_matches(seq, '[ACGT]{{23}}')),
+     b AS (SELECT id, true AS fore, s FROM q UNION ALL SELECT id, false, reverse(translate(s, 'ACGT', 'TGCA')) FROM q),
+     x AS (SELECT id, fore, s, s[1:23] AS k FROM b),
+     y AS (SELECT assembly_idx, record_no, s, i, s[i + 1:i + 23] AS k FROM (SELECT assembly_idx, record_no, upper(seq) AS s, unnest(range(0, length(seq) - 22)) AS i FROM r))
+SELECT DISTINCT id AS qseqid, assembly_idx, record_no, fore AS forward
+FROM x JOIN y USING (k) WHERE y.s[i + 1:i + length(x.s)] = x.s""",
     "search_names": f"""WITH {_A}, {_R} SELECT assembly_idx || '@' || CASE WHEN is_target THEN 'y' ELSE 'n' END || '@' || coalesce(record_id, '') AS sseqid, count(*) AS n,
        sum(length(seq))::BIGINT AS letters FROM r JOIN a USING (assembly_idx) WHERE is_target IS NOT NULL GROUP BY 1""",
     "event_sessions": """WITH g AS (SELECT user_id, epoch_us(ts) AS us, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > 3600000000)::INT, 0) AS gap FROM events),

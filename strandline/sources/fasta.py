@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,18 +50,39 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_fasta(spark: SparkSession, assemblies: DataFrame, upper: bool = False) -> DataFrame:
     """Records of the files named in ``assemblies`` (assembly_idx, path); plain or gzip by the suffix.
 
-    Files are read and parsed by the executors, a file a row; the driver only lists their names.
+    A path is a URI of any file system of the session, or a path of its default one; letters that patterns use are taken
+    as they are. Files are read and parsed by the executors, a file a row; the driver only lists their names. A file that
+    is not there is an error, as is one that the scan gives under no name of the list.
     """
     listed = assemblies.select("assembly_idx", "path").distinct().collect()  # names of the run's input files
     if not listed:
         return spark.createDataFrame([], RECORDS)
-    where = spark.createDataFrame([(r[0], r[1]) for r in listed], "assembly_idx int, file string")
-    files = spark.read.format("binaryFile").load(sorted({r[1] for r in listed}))
-    named = files.select(F.regexp_replace("path", "^file:/*", "/").alias("file"), "content")
+    full = {r[1]: _qualified(spark, r[1]) for r in listed}
+    where = spark.createDataFrame([(r[0], full[r[1]]) for r in listed], "assembly_idx int, file string")
+    files = spark.read.format("binaryFile").load([_PATTERN.sub(r"\\\g<0>", f) for f in sorted(set(full.values()))])
+    read = {re.sub("^file:/+", "file:/", unquote(f)) for f in files.inputFiles()}  # these come with letters escaped
+    lost = sorted(set(full.values()) - read)
+    if lost:
+        raise FileNotFoundError(f"files that were not read: {lost[:5]}")
+    named = files.select(F.regexp_replace("path", "^file:/+", "file:/").alias("file"), "content")
     out = named.join(F.broadcast(where), "file").select("assembly_idx", "file", "content").mapInArrow(_parse, RECORDS)
     return out.withColumn("seq", F.upper("seq")) if upper else out
 
 
+_PATTERN = re.compile(r"[\[\]{}*?\\]")
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path as the file system writes it, with its scheme."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return re.sub("^file:/+", "file:/", p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString())
+
+
+def repeated_names(records: DataFrame) -> DataFrame:
+    """``assembly_idx, record_id, n`` of ids that several records of one assembly have."""
+    return records.where("record_id IS NOT NULL").groupBy("assembly_idx", "record_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def fasta_text(records: DataFrame, width: int = 60) -> DataFrame:
     """``assembly_idx, text``: each assembly's records as FASTA. An assembly is one file, so one row."""
     lines = F.regexp_replace(F.coalesce("seq", F.lit("")), f"(.{{{width}}})(?=.)", "$1\n")

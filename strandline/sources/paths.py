@@ -66,20 +66,36 @@ def search_taxon(taxon: str, api_key: str | None = None) -> list[dict]:
     return json.loads(subprocess.run(cmd, capture_output=True, check=True, text=True).stdout).get("reports", [])
 
 
-def download_taxon(taxon: str, to: str | Path, *, level: str = "contig", source: str = "genbank", annotated: bool = False, exclude_mag: bool = False, api_key: str | None = None) -> list[Path]:
-    """Files of a taxon's genomes, by the ``datasets`` command; a download that is already there is used again."""
+def download_taxon(
+    taxon: str, to: str | Path, *, level: str = "contig", source: str = "genbank", annotated: bool = False, exclude_mag: bool = False, gzip: bool = True,
+    api_key: str | None = None, workers: int = 1,
+) -> list[Path]:
+    """Files of a taxon's genomes, by the ``datasets`` command; a download that is already there is used again.
+
+    A list of the genomes comes first and then their sequences, packed with ``gzip``. A download that breaks off leaves
+    nothing behind.
+    """
     to = Path(to)
     data = to / "ncbi_dataset" / "data"
-    if not data.is_dir():
-        tool = shutil.which("datasets")
-        if tool is None:
-            raise FileNotFoundError("the datasets command is not installed")
-        levels = ["contig", "scaffold", "chromosome", "complete"]
-        cmd = [tool, "download", "genome", "taxon", taxon, "--assembly-level", ",".join(levels[levels.index(level) :]), "--assembly-source", source]
-        cmd += ["--annotated"] * annotated + ["--mag", "exclude"] * exclude_mag + (["--api-key", api_key] if api_key else [])
-        to.mkdir(parents=True, exist_ok=True)
-        subprocess.run([*cmd, "--filename", str(to / "package.zip")], check=True)
-        shutil.unpack_archive(to / "package.zip", to)
+    if data.is_dir():
+        return paths_in_package(data)
+    tool = shutil.which("datasets")
+    if tool is None:
+        raise FileNotFoundError("the datasets command is not installed")
+    key = ["--api-key", api_key] if api_key else []
+    levels = ["contig", "scaffold", "chromosome", "complete"]
+    asked = [] if level == levels[0] else ["--assembly-level", ",".join(levels[levels.index(level) :])]
+    to.mkdir(parents=True, exist_ok=True)
+    package = to / "package.zip"
+    listed = ["--filename", str(package), "--dehydrated", "--include", "genome", "--exclude-atypical", "--exclude-multi-isolate", "--assembly-source", source]
+    listed += [*asked, *(["--annotated"] if annotated else []), "--mag", "exclude" if exclude_mag else "all", *key]
+    try:
+        subprocess.run([tool, "download", "genome", "taxon", taxon, *listed], check=True)
+        shutil.unpack_archive(package, to)
+        subprocess.run([tool, "rehydrate", "--directory", str(to), "--max-workers", str(workers), *(["--gzip"] if gzip else []), *key], check=True)
+    except Exception:
+        shutil.rmtree(to, ignore_errors=True)
+        raise
     return paths_in_package(data)
 
 

@@ -73,3 +73,23 @@ def search_database(records: DataFrame, assemblies: DataFrame, negatives_only: b
     r = records.join(flag, "assembly_idx").where(~F.col("is_target") if negatives_only else F.lit(True))
     yn = F.when(F.col("is_target"), "y").otherwise("n")
     return r.select(F.concat_ws("@", F.col("assembly_idx").cast("string"), yn, F.coalesce("record_id", F.lit(""))).alias("sseqid"), "seq")
+
+
+def write_search_database(records: DataFrame, assemblies: DataFrame, to: str, negatives_only: bool = False) -> None:
+    """The search database as FASTA files in a folder, written by the executors."""
+    t = search_database(records, assemblies, negatives_only)
+    t.select(F.concat(F.lit(">"), "sseqid", F.lit("\n"), F.coalesce("seq", F.lit("")))).write.mode("errorifexists").text(to)
+
+
+def save_sketches(sketches: DataFrame, to: str, k: int, size: int, overwrite: bool = False) -> None:
+    """Bottom sketches with the length of their k-mers and their size, as Parquet."""
+    t = sketches.withColumn("kmerlen", F.lit(k)).withColumn("sketchsize", F.lit(size))
+    t.write.mode("overwrite" if overwrite else "errorifexists").parquet(to)
+
+
+def load_sketches(spark: SparkSession, at: str, k: int, size: int) -> DataFrame:
+    """Sketches saved before; an error where they are of another k-mer length or size."""
+    t = spark.read.parquet(at)
+    if not t.where((F.col("kmerlen") != k) | (F.col("sketchsize") != size)).isEmpty():
+        raise ValueError(f"{at} holds sketches of other parameters than {k} and {size}")
+    return t.drop("kmerlen", "sketchsize")

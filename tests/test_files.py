@@ -1,6 +1,8 @@
 import gzip
 import json
+import os
 import random
+from pathlib import Path
 
 import pytest
 
@@ -115,3 +117,52 @@ def test_signature_files_leave_unknown_scores_empty(spark, tmp_path):
     assert row["fasta_header"] == "3-r-5:9" and row["conservation"] == "0.5" and row["divergence"] == row["rep_ratio"] == row["f_tar_hits"] == ""
     assert dict(zip(head.split(","), second.split(","), strict=True)) | {"fasta_header": "3--0:2", "conservation": "", "divergence": "0.25"} == dict(zip(head.split(","), second.split(","), strict=True))
     assert (tmp_path / "s.fasta").read_text() == ">3-r-5:9\nACGT\n>3--0:2\nAC\n"
+
+
+def test_odd_file_names_and_lost_files(spark, tmp_path):
+    names = ["a b.fa", "c[1].fa", "d{x,y}.fa", "é%20.fa", "plus+#.fa"]
+    for i, n in enumerate(names):
+        (tmp_path / n).write_text(f">r{i}\nACGT\n>r{i}\nAA\n")
+    table = spark.createDataFrame([(i, str(tmp_path / n) if i % 2 else f"file://{tmp_path}/{n}") for i, n in enumerate(names)], "assembly_idx int, path string")
+    got = fasta.read_fasta(spark, table)
+    assert rows(got.select("assembly_idx", "record_id").distinct()) == [(i, f"r{i}") for i in range(5)]
+    assert rows(fasta.repeated_names(got)) == [(i, f"r{i}", 2) for i in range(5)]
+    with pytest.raises(Exception, match="nowhere"):
+        fasta.read_fasta(spark, spark.createDataFrame([(0, str(tmp_path / "nowhere.fa"))], "assembly_idx int, path string")).collect()
+
+
+def test_a_run_without_subgraph_is_an_error(spark, tmp_path):
+    for side in ("tar", "neg"):
+        (tmp_path / side).mkdir()
+        (tmp_path / side / "0.fa").write_text(">r\n" + "ACGTTGCATG" * 20 + "\n")
+    c = dict(tar_dir=tmp_path / "tar", neg_dir=tmp_path / "neg", prefix=tmp_path, title="out", kmerlen=15, windowsize=10, penalty_th=0.0, run_mash=False, run_blast=False, order="hash")
+    with pytest.raises(RuntimeError, match="subgraph"):
+        api.run(spark, Config(**c, save_graph=True, tables=f"file://{tmp_path}/elsewhere"))
+    assert (tmp_path / "elsewhere" / "graph" / "nodes").is_dir()
+    with pytest.raises(ValueError):
+        Config(**{**c, "order": "other"})
+
+
+def test_sketches_and_search_database_are_written(spark, tmp_path):
+    sk = spark.createDataFrame([(0, 5, 1), (0, 9, 2)], "assembly_idx int, hash bigint, rn int")
+    tables.save_sketches(sk, str(tmp_path / "sk"), 21, 2)
+    assert rows(tables.load_sketches(spark, str(tmp_path / "sk"), 21, 2)) == rows(sk)
+    with pytest.raises(ValueError):
+        tables.load_sketches(spark, str(tmp_path / "sk"), 17, 2)
+    rec = spark.createDataFrame([(0, "a", "ACGT"), (1, None, None)], "assembly_idx int, record_id string, seq string")
+    a = spark.createDataFrame([(0, True), (1, False)], "assembly_idx int, is_target boolean")
+    for only, want in ((False, [">0@y@a", "ACGT", ">1@n@"]), (True, [">1@n@"])):
+        tables.write_search_database(rec, a, str(tmp_path / f"db{only}"), only)
+        lines = [x for p in sorted((tmp_path / f"db{only}").glob("part-*")) for x in p.read_text().splitlines() if x]
+        assert sorted(lines) == sorted(want)
+
+
+@pytest.mark.skipif("STRANDLINE_GOLDEN" not in os.environ, reason="no folder of known results is named")
+@pytest.mark.parametrize("listed", [False, True])
+def test_known_signatures_letter_for_letter(spark, tmp_path, listed):
+    """$STRANDLINE_GOLDEN has targets/, non-targets/, their path lists *.txt and expected/signatures.fasta of k = 17, w = 10."""
+    at = Path(os.environ["STRANDLINE_GOLDEN"])
+    given = dict(tar_paths=at / "targets.txt", neg_paths=at / "non-targets.txt") if listed else dict(tar_dir=at / "targets", neg_dir=at / "non-targets")
+    c = Config(**given, prefix=tmp_path, title="out", kmerlen=17, windowsize=10, min_len=17, max_len=200, run_mash=False, run_blast=False)
+    api.run(spark, c)
+    assert (tmp_path / "out" / "signatures.fasta").read_text() == (at / "expected" / "signatures.fasta").read_text()

@@ -95,6 +95,10 @@ def test_runs_orders_and_strands(spark):
 
     rep = F.array(*[F.lit(x).cast("bigint") for x in (1, 2, 3)])
     assert [r[0] for r in s.select(markers.strand(F.col("k"), rep)).collect()] == ["+", "-", "+", "-", "u", "?", "?"]
+    # a representative that repeats a k-mer: shared ones have to follow each other in it
+    rep = F.array(*[F.lit(x).cast("bigint") for x in (1, 2, 1, 3)])
+    s = spark.createDataFrame([([2, 1],), ([1, 3],), ([3, 1, 2],), ([3, 2],), ([2, 9, 1, 3],), ([2, 2],), ([1],), ([3, 1, 2, 1],)], "k array<bigint>")
+    assert [r[0] for r in s.select(markers.strand(F.col("k"), rep)).collect()] == ["+", "+", "-", "-", "+", "?", "u", "-"]
 
 
 def test_orders_of_linear_and_other_subgraphs(spark):
@@ -166,3 +170,37 @@ def test_a_search_cut_short_is_told():
         adjacent[b].add(a)
     path, whole = graph.longest_path(adjacent, 0, 39, most=20)
     assert not whole and graph.is_path(path, adjacent, 0, 39)
+
+
+def test_input_of_scoring_is_checked(spark):
+    a = spark.createDataFrame([(i, i % 2 == 0) for i in range(4)], "assembly_idx int, is_target boolean")
+    offsets = lambda *o: spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(o)], "assembly_idx int, first_record bigint, stop_record bigint")
+    assert graph.check_offsets(offsets((0, 2), (2, 2), (2, 5), (5, 7)), a) == 7
+    for bad in (((0, 2), (2, 4), (4, 5)), ((1, 2), (2, 4), (4, 5), (5, 7)), ((0, 3), (3, 2), (2, 5), (5, 7)), ((0, 2), (3, 4), (4, 5), (5, 7)), ((0, 1), (1, 2), (2, 3), (3, 4), (4, 5))):
+        with pytest.raises(ValueError):
+            graph.check_offsets(offsets(*bad), a)
+    k = lambda *r: spark.createDataFrame([(x,) for x in r], "record_idx int")
+    graph.check_records(k(0, 6, 3), 7)
+    for bad in (k(0, 7), k(-1), k(None)):
+        with pytest.raises(ValueError):
+            graph.check_records(bad, 7)
+
+
+def test_a_graph_is_filtered_and_scored(spark):
+    from strandline import api
+
+    rec = spark.createDataFrame([(i, 0, "r", s) for i, s in enumerate(["ACGTTGCATGCCGATAGCTA", "ACGTTGCATGCC", "CCGATAGCTAAG"])], "assembly_idx int, record_no int, record_id string, seq string")
+    a = spark.createDataFrame([(0, True), (1, True), (2, False)], "assembly_idx int, is_target boolean")
+    g = api.build_graph(rec, a, 5, 2)
+    scored = g.get_penalty(a)
+    assert scored.columns == ["hash", "n_occ", "n_tar", "n_neg", "penalty"] and scored.count() == g.nodes.count()
+    keep = g.nodes.orderBy("hash").limit(4)
+    left = {x[0] for x in keep.select("hash").collect()}
+    part = g.filter(keep)
+    assert {x[0] for x in part.nodes.select("hash").collect()} == left
+    assert rows(part.kmers) == [x for x in rows(g.kmers.select(part.kmers.columns)) if x[part.kmers.columns.index("hash")] in left]
+    assert rows(part.edges) == [x for x in rows(g.edges) if x[0] in left and x[1] in left]
+    nodes = [x["hash"] for x in g.tables()["nodes"].collect()]
+    assert nodes == sorted(nodes) and set(g.tables()) == {"kmers", "nodes", "edges", "record_offsets"}
+    with pytest.raises(ValueError):
+        g.get_penalty(a.where("is_target"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import heapq
 import random
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,27 +81,21 @@ def subgraphs(nodes: DataFrame, edge: DataFrame, th: float, least: int, most: in
     e = edge.join(where.select(F.col("hash").alias("first"), "c"), "first").join(live, "c", "left_semi").where("first <> second")
     e = e.select("c", F.col("first").alias("x"), F.col("second").alias("y"), F.lit(None).cast("double").alias("penalty"), F.lit(None).cast("bigint").alias("rank"))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        is_node = part["y"].isna()
-        n = part[is_node]
-        pen = dict(zip(n["x"].tolist(), n["penalty"].tolist(), strict=True))
+    def run(t: pa.Table) -> pa.Table:
+        is_node = t["y"].is_null()
+        n, pairs = t.filter(is_node), t.filter(pc.invert(is_node))
+        pen = dict(zip(n["x"].to_pylist(), n["penalty"].to_pylist(), strict=True))
         by: dict[int, list[int]] = {}
-        for a, b in zip(part.loc[~is_node, "x"].tolist(), part.loc[~is_node, "y"].astype("int64").tolist(), strict=True):
+        for a, b in zip(pairs["x"].to_pylist(), pairs["y"].to_pylist(), strict=True):
             by.setdefault(a, []).append(b)
             by.setdefault(b, []).append(a)
-        s = n[n["rank"].notna()].sort_values("rank")
-        ranks = dict(zip(s["x"].tolist(), s["rank"].astype("int64").tolist(), strict=True))
+        s = n.filter(n["rank"].is_valid()).sort_by("rank")
+        ranks = dict(zip(s["x"].to_pylist(), s["rank"].to_pylist(), strict=True))
         rows = [(ranks[q], m, pen[m]) for q, ms in grow(by, pen, list(ranks), th, least, most) for m in ms]
-        return pd.DataFrame(rows, columns=["subgraph_id", "hash", "penalty"]).astype({"subgraph_id": "int64", "hash": "int64", "penalty": "float64"})
+        columns = zip(*rows, strict=True) if rows else ([], [], [])
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["subgraph_id", "hash", "penalty"])
 
-    # Arrow gives pandas floats for BIGINT columns with NULLs: keys above 2**53 travel as text
-    as_text = lambda df: df.select("c", F.col("x").cast("string").alias("x"), F.col("y").cast("string").alias("y"), "penalty", F.col("rank").cast("string").alias("rank"))
-
-    def run_text(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.assign(**{c: part[c].map(lambda q: pd.NA if q is None else int(q)).astype("Int64") for c in ("x", "y", "rank")})
-        return run(part)
-
-    grown = materialize(as_text(v.union(e)).groupBy("c").applyInPandas(run_text, MEMBERS))
+    grown = materialize(v.union(e).groupBy("c").applyInArrow(run, MEMBERS))
     if order != "shuffle":
         return grown
     ids = sorted(r[0] for r in grown.select("subgraph_id").distinct().collect())  # one number a kept subgraph

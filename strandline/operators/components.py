@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strandline.session import materialize, release
@@ -16,13 +16,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     ignored; no edges give no rows. Each round is written to the shared scratch folder.
     """
     x, y = F.col(a), F.col(b)
-    cur = materialize(
-        edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
-    )
-    sign = _signature(cur)
+    cur, sign = _written(edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct())
     for _ in range(max_rounds):
-        nxt = materialize(_small_star(_large_star(cur)))
-        new = _signature(nxt)
+        nxt, new = _written(_small_star(_large_star(cur)))
         release(cur)
         cur = nxt
         if new == sign:
@@ -35,9 +31,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     return out
 
 
-def _signature(e: DataFrame) -> tuple:
-    r = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return r[0], r[1]
+def _written(e: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and a number of them all that is summed while they are written.
+
+    A task that runs twice is summed twice: then two equal rounds look unequal, and one more is made.
+    """
+    seen = Observation()
+    out = materialize(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")))
+    r = seen.get
+    return out, (r["n"], r["s"])
 
 
 def _large_star(e: DataFrame) -> DataFrame:

@@ -194,6 +194,17 @@ def induced_edges(edge: DataFrame, members: DataFrame, by: str = "subgraph_id")
     return edge.join(a, "first").join(b, "second").where(F.col(by) == F.col("_g")).select(by, "first", "second", "weight")
 
 
+def drawings(induced: DataFrame, nodes: DataFrame, by: str = "subgraph_id") -> DataFrame:
+    """``by, dot``: each graph as text that graph-drawing tools read, nodes with their penalty, edges with their weight.
+
+    ``nodes`` has ``by``, hash and penalty; a graph has at most as many nodes as its growth allowed, so one is one row.
+    """
+    node = nodes.select(by, F.format_string('  "%d" [label="%.3f"];', "hash", F.coalesce("penalty", F.lit(0.0))).alias("line"), F.lit(0).alias("kind"))
+    edge = induced.select(by, F.format_string('  "%d" -- "%d" [label="%d"];', "first", "second", F.col("weight").cast("bigint")).alias("line"), F.lit(1).alias("kind"))
+    lines = F.transform(F.array_sort(F.collect_set(F.struct("kind", "line"))), lambda x: x["line"])
+    return node.union(edge).groupBy(by).agg(F.concat(F.lit("graph {\n"), F.array_join(lines, "\n"), F.lit("\n}\n")).alias("dot"))
+
+
 #: Parts of one subgraph looked at for its longest path; where these do not do, the path is marked as not searched.
 MAX_PARTS = 20_000
 

@@ -59,9 +59,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder from ``spark.checkpoint.dir``; only where that is unset, one of our own."""
+    """The cluster's shared folder from ``spark.checkpoint.dir``; only on one machine, where that is unset, one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", root)
         atexit.register(shutil.rmtree, root[len("file://") :], ignore_errors=True)

@@ -204,3 +204,21 @@ def test_a_graph_is_filtered_and_scored(spark):
     assert nodes == sorted(nodes) and set(g.tables()) == {"kmers", "nodes", "edges", "record_offsets"}
     with pytest.raises(ValueError):
         g.get_penalty(a.where("is_target"))
+
+
+def test_graphs_as_drawings(spark):
+    e = spark.createDataFrame([(1, 5, 7, 3), (1, 7, 9, 1), (2, 4, 4, 2)], "subgraph_id bigint, first bigint, second bigint, weight bigint")
+    n = spark.createDataFrame([(1, 5, 0.25), (1, 7, None), (1, 9, 1.0), (2, 4, 0.0), (3, 8, 0.5)], "subgraph_id bigint, hash bigint, penalty double")
+    got = dict(rows(graph.drawings(e, n)))
+    assert got[1] == 'graph {\n  "5" [label="0.250"];\n  "7" [label="0.000"];\n  "9" [label="1.000"];\n  "5" -- "7" [label="3"];\n  "7" -- "9" [label="1"];\n}\n'
+    assert got[3] == 'graph {\n  "8" [label="0.500"];\n}\n' and '"4" -- "4"' in got[2]
+
+
+def test_scratch_needs_a_shared_folder_off_one_machine():
+    from types import SimpleNamespace
+
+    from strandline.session import scratch_root
+
+    conf = SimpleNamespace(get=lambda k, d: None)
+    with pytest.raises(RuntimeError):
+        scratch_root(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://h:7077", getCheckpointDir=lambda: None)))

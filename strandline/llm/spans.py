@@ -60,9 +60,9 @@ class Collection:
             told = told.union(rows.join(many, "id").where("text <> only").select("id", "text", F.lit(0), F.lit(False), F.lit(False)).distinct())
         told = materialize(told)
         few = F.broadcast(told) if told.count() <= _FEW else told  # few: some tens of MB, and sequences stay where they are read
-        kept = rows.select("id", "text", "seq").join(few, ["id", "text"], "left").where("coalesce(first, true)")
+        kept = spread(rows.select("id", "text", "seq")).join(few, ["id", "text"], "left").where("coalesce(first, true)")
         kept = kept.select("id", F.coalesce("mark", F.lit(0)).cast("bigint").alias("mark"), F.coalesce("copied", F.lit(False)).alias("copied"), "seq")
-        self.units = spread(kept).mapInArrow(partial(_units, k=k, w=min_len - k + 1), _UNITS)
+        self.units = kept.mapInArrow(partial(_units, k=k, w=min_len - k + 1), _UNITS)
 
 
 def _units(batches: Iterator[pa.RecordBatch], k: int, w: int) -> Iterator[pa.RecordBatch]:

@@ -217,9 +217,11 @@ def fit(docs: DataFrame, key: str, text: str, layout: str | None, labels: DataFr
     rows = _rows(docs, key, text, layout)
     others = min(1.0, s.unlabelled / max(1, rows.count()))
     marked = rows.join(F.broadcast(y.where(_within("id", part, 1))), "id", "left")  # about s.labelled rows of two numbers
-    marked = marked.where(F.col("y").isNotNull() | _within("id", others, 2)).distinct()
+    # a bounded number of texts, each costly: dealt to all cores, and copies dropped where they meet
+    cores = spark.sparkContext.defaultParallelism
+    marked = marked.where(F.col("y").isNotNull() | _within("id", others, 2)).repartition(cores, "id").distinct()
     marked = marked.select("id", "t", "l", "y", F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("fold"))
-    cut = materialize(spread(marked).mapInArrow(partial(_cut, words=s.words), "id bigint, y int, fold int, w array<string>"))
+    cut = materialize(marked.mapInArrow(partial(_cut, words=s.words), "id bigint, y int, fold int, w array<string>"))
     known = cut.where("y IS NOT NULL")
     size = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     if len(size) < 2:

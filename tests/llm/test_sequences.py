@@ -187,6 +187,19 @@ def test_spans_by_brute_force(spark, monkeypatch, hot):
     assert rows(spans.shared_spans(none, "key", "seq", n)) == []
 
 
+def test_spans_of_keys_with_several_texts(spark):
+    r = random.Random(2)
+    x, y, z = ("".join(r.choice("ACGT") for _ in range(60)) for _ in range(3))
+    data = [(1, x), (1, y), (2, x[:40] + z[:20]), (3, y), (4, y.lower()), (4, z), (1, x)]
+    df = spark.createDataFrame(data, "key bigint, seq string")
+    u = spans.Collection(df, "key", "seq", 30)
+    # 2 and 3 share nothing, though both share a text with 1
+    assert rows(spans.sharing_pairs(u, u, 30)) == [(1, 2), (1, 3), (1, 4), (3, 4)]
+    got = spans.shared_spans(df, "key", "seq", 30)
+    assert got.columns == ["key", "start", "stop", "kept"] and got.where("stop - start < 30").count() == 0
+    assert rows(spans.coverage(df, got, "key", "seq").select("key", "n_letters")) == [(1, 60), (2, 60), (3, 60), (4, 60)]
+
+
 @pytest.mark.parametrize("hot", [256, 4, 1])
 def test_overlaps_by_brute_force(spark, hot):
     r = random.Random(hot)
